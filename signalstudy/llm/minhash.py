@@ -4,10 +4,9 @@ One permutation of the hash space places a shingle; a second one, shifted by one
 permutations give all coordinates of a signature. Documents that agree in a whole band are candidates; a candidate pair
 becomes a link only after its full shingle sets have been compared.
 
-Not every pair of a bucket is compared. Equal word sequences are one node. Each bucket's members are compared with
-one centre first; pairs that are linked by then through any chain need no further look. What stays are pairs of one
-bucket whose documents are still in different components: all of those whose signatures allow the threshold are
-compared, block by block, so the result is that of comparing all pairs of all buckets.
+Equal word sequences are one node. Within a bucket, signatures tell which pairs can reach the similarity; a spanning
+forest of those gives clusters, in which all pairs are compared on their full sets, block by block, by products of
+incidence matrices. Rows between steps are members and forest edges, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -26,9 +25,13 @@ from .common import cut
 SHINGLE = 5
 BANDS, ROWS = 28, 5
 COORDINATES = BANDS * ROWS
-CHUNK_BYTES = 1 << 21
-#: Members of a bucket that one task compares with as many others.
+CHUNK_BYTES = 1 << 18
+#: Members of a group that one task compares with as many others.
 BLOCK_MEMBERS = 512
+#: Tasks that the smaller groups share.
+TASKS = 4096
+#: Buckets of so many members are told apart by their members alone.
+FEW = 32
 
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -40,7 +43,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.ones(max(n, CHUNK_BYTES * 2), np.uint64)
+            p = np.ones(max(n, CHUNK_BYTES * 3 // 2), np.uint64)
             p[1:] = base
             _powers[k] = np.multiply.accumulate(p)
     return _powers[0][:n], _powers[1][:n]
@@ -105,21 +108,18 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return h.astype(np.int64)
 
 
-def _runs(texts: list[bytes]):
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= CHUNK_BYTES:
-            yield run
-            run, size = [], 0
+def _runs(column: pa.Array):
+    """Start, and whole texts in lower case, of runs of about CHUNK_BYTES; null is empty. bytes.lower() changes A-Z only."""
+    run, size, start = [], 0, 0
+    for lo in range(0, len(column), 128):
+        for t in pc.cast(column.slice(lo, 128), pa.binary()).to_pylist():
+            run.append(t.lower() if t is not None else b"")
+            size += len(run[-1])
+            if size >= CHUNK_BYTES:
+                yield start, run
+                run, size, start = [], 0, start + len(run)
     if run:
-        yield run
-
-
-def _lowered(column: pa.Array) -> list[bytes]:
-    # bytes.lower() changes A-Z only
-    return [t.lower() if t is not None else b"" for t in pc.cast(column, pa.binary()).to_pylist()]
+        yield start, run
 
 
 def sketch(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,8 +127,8 @@ def sketch(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, at = b.column("id"), 0
-            for texts in _runs(_lowered(b.column("text"))):
+            ids = b.column("id")
+            for at, texts in _runs(b.column("text")):
                 sets = shingle_sets(texts)
                 sig = np.stack([signature(s) for s in sets])
                 keys = band_keys(sig)
@@ -139,36 +139,91 @@ def sketch(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
                     names=["id", "n", "words", "sig", "keys"],
                 )
-                at += len(texts)
 
     rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "id long, n long, words binary, sig binary, keys array<long>")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """pairs (a, b) of which 100 * intersection >= percent * union holds on the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+def id_bitmap(ids: DataFrame, rows: int) -> bytes:
+    """A bitmap in which every id of ids (one column) has its bit set; others rarely. About 16 bits a row, 16 MB at most."""
+    bits = min(max(20, (16 * max(rows, 1) - 1).bit_length()), 27)
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
+    parts = ids.select((place / 32768).cast("long").alias("bucket"), (place % 32768).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("b"))
+    out = bytearray(1 << (bits - 3))
+    for r in parts.collect():
+        out[r.bucket * 4096 : (r.bucket + 1) * 4096] = r.b
+    return bytes(out)
+
 
-    def sets(batches):
+def with_bit(rows: DataFrame, bitmap: bytes) -> DataFrame:
+    """The rows (with a column id) whose id may be in the bitmap: one row in thousands is let through beside them."""
+    held = rows.sparkSession.sparkContext.broadcast(bitmap)
+    shift = 64 - (len(bitmap).bit_length() + 2)
+    names = rows.columns
+
+    def run(batches):
+        bit = np.frombuffer(held.value, np.uint8)
         for b in batches:
-            at = 0
-            for texts_ in _runs(_lowered(b.column("text"))):
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(texts_)), pa.array([s.tobytes() for s in shingle_sets(texts_)], pa.binary())], names=["id", "s"])
-                at += len(texts_)
+            place = b.column("_place").to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((bit[place >> 3] >> (place & 7)) & 1 == 1)).select(names)
 
-    def compare(batches):
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.withColumn("_place", F.shiftrightunsigned(F.xxhash64("id"), shift)).mapInArrow(run, kind)
+
+
+def shingles_of(documents: DataFrame, id_col: str, text_col: str, bitmap: bytes) -> DataFrame:
+    """id and set (packed hashes) of the documents whose id may be in the bitmap."""
+    texts = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null")
+
+    def run(batches):
         for b in batches:
-            found = []
-            for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                found.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            yield b.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+            for at, some in _runs(b.column("text")):
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(some)), pa.array([s.tobytes() for s in shingle_sets(some)], pa.binary())], names=["id", "s"])
+
+    return with_bit(texts, bitmap).mapInArrow(run, "id long, s binary")
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph with this adjacency matrix."""
+    left, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        stack = [root] if left[root] else []
+        left[root] = False
+        while stack:
+            k = stack.pop()
+            new = np.flatnonzero(linked[k] & left)
+            left[new] = False
+            out += [(k, int(n)) for n in new]
+            stack += new.tolist()
+    return out
 
-    hashed = cut(texts.mapInArrow(sets, "id long, s binary"), "near-sets")
-    full = pairs.join(hashed.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(hashed.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return full.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+
+def common(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Exact sizes of all pairs' intersections, by products of blocks of the incidence matrix."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [lo, lo + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def in_tasks(members: DataFrame, group: str, size: str) -> DataFrame:
+    """Adds the task columns t, i, j: each pair of a group's members meets in some task. Groups of more than
+    BLOCK_MEMBERS are dealt into blocks, of which every two meet; small ones share tasks."""
+    blocks = F.ceil(F.col(size) / BLOCK_MEMBERS).cast("int")
+    m = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shared = F.pmod(F.xxhash64(group), F.lit(TASKS))
+    return m.withColumn("t", F.when(F.col("blocks") > 1, F.col(group)).otherwise(shared)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "block", "other")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,78 +242,72 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of signatures can belong to sets of that similarity: five standard deviations of grace."""
-    s = percent / 100
-    return (x == y).mean(-1) >= s - 5 * np.sqrt(s * (1 - s) / x.shape[-1])
-
-
 def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per row: id, n_shingles long, component_id (smallest id reachable), kept boolean.
 
     Two documents are linked when 100 * intersection >= percent * union of their sets of five-word shingles (A-Z in
     lower case; fewer words: the whole sequence). At similarity 0.8 a pair escapes all bands with probability 1.4e-5,
     at 0.85 with 7e-8. Documents without words, or with a null id, are linked with nothing; a null id keeps its row and
-    has no component. Rows that repeat an id are one document, and if their texts differ, linked.
+    has no component. Rows that repeat an id are one document, and of differing texts one is compared.
     """
-    all_ = cut(sketch(documents, id_col, text_col), "near-sketches")
-    ids = all_.filter("words is not null and id is not null").select("id", "words")
+    sketches = cut(sketch(documents, id_col, text_col), "near-sketches")
+    valid = sketches.filter("words is not null and id is not null")
     # equal word sequences: their least id stands for them
-    least = ids.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("words", "rep")
-    copies = cut(ids.join(least, "words").filter("id <> rep").select(F.col("id").alias("copy"), "rep").distinct(), "near-copies")
-    reps = all_.filter("words is not null and id is not null").join(copies, F.col("id") == F.col("copy"), "left_anti")
-    keyed = reps.select("id", F.explode("keys").alias("key")).distinct()
-    # only buckets of two and more, with their least member
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("m")).filter("m > 1")
-    buckets = cut(keyed.join(heads, "key").select("key", "id", "head", "m"), "near-buckets")
-    sigs = reps.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "sig").dropDuplicates(["id"])
-    sigs = cut(sigs, "near-signatures")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in ("xa", "xb"))
-                yield b.select(["a", "b"]).filter(pa.array(_possible(x, y, percent)))
-
-        full = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("xb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("xa")), "a")
-        return full.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
-
-    star = cut(plausible(buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), "near-star")
-    links = cut(_verified(star, documents, id_col, text_col, percent), "near-links")
-    comps = components(links)
-
-    # pairs of one bucket in different components, those compared already left out
-    state = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = state.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members")).filter("c0 <> c1").select("key", "members")
-    open_ = state.select("key", "id", "comp").join(mixed, "key").join(sigs, "id")
-    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    open_ = open_.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "sig")
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "block"]).sort_values("id")
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(len(pdf), -1)
-        ids, comp, block = pdf.id.to_numpy(), pdf.comp.to_numpy(), pdf.block.to_numpy()
-        a, b = [], []
-        same = pdf.i.iloc[0] == pdf.j.iloc[0]
-        for k in range(len(pdf) - 1):
-            to = k + 1 + np.flatnonzero((comp[k + 1 :] != comp[k]) & (same | (block[k + 1 :] != block[k])))
-            to = to[_possible(sig[to], sig[k], percent)] if len(to) else to
-            a += [ids[k]] * len(to)
-            b += ids[to].tolist()
-        return pd.DataFrame({"a": np.asarray(a, "int64"), "b": np.asarray(b, "int64")})
-
-    rest = open_.groupBy("key", "i", "j").applyInPandas(across, "a long, b long").distinct()
-    rest = cut(rest.join(star, ["a", "b"], "left_anti"), "near-rest")
-    if rest.take(1):
-        links = links.unionByName(cut(_verified(rest, documents, id_col, text_col, percent), "near-links"))
-        comps = components(links)
+    least = valid.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("words", "rep")
+    copies = cut(valid.select("id", "words").join(least, "words").filter("id <> rep").select("id", "rep").distinct(), "near-copies")
+
+    keyed = valid.select("id", F.explode("keys").alias("key"))
+    full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    buckets = keyed.join(full, "key").join(copies.select("id"), "id", "left_anti").distinct()
+    buckets = cut(buckets, "near-buckets")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = buckets.join(sizes, "key")
+    # the same few members meet in many bands: once is enough
+    few = buckets.filter(F.col("size") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    few = few.select(F.xxhash64("ids").alias("g"), F.size("ids").cast("long").alias("size"), F.explode("ids").alias("id"))
+    groups = cut(few.unionByName(buckets.filter(F.col("size") > FEW).select(F.col("key").alias("g"), "size", "id")), "near-groups")
+
+    # candidates: signatures of one bucket that allow the similarity. A spanning forest of them will do, since all pairs
+    # of the clusters that it gives are compared on their full sets
+    ids = cut(groups.select("id").distinct(), "near-members")
+    sigs = with_bit(valid.select("id", "n", "sig"), id_bitmap(ids, ids.count())).dropDuplicates(["id"])
+    s = percent / 100
+    least_equal = COORDINATES * (s - 5 * np.sqrt(s * (1 - s) / COORDINATES))
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = []
+        for _, x in pdf.groupby("g", sort=False):
+            x = x.drop_duplicates("id")
+            sig, n, ids_ = np.frombuffer(b"".join(x.sig), np.uint32).reshape(len(x), -1), x.n.to_numpy(), x.id.to_numpy()
+            same = np.stack([(sig == row).sum(1) for row in sig]) >= least_equal
+            same &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+            edges += [(ids_[a], ids_[b]) for a, b in forest(same)]
+        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    placed = in_tasks(groups.join(sigs, "id"), "g", "size")
+    near = placed.groupBy("t", "i", "j").applyInPandas(candidates, "a long, b long")
+    clusters = cut(components(near).withColumnRenamed("comp", "g"), "near-clusters")
+    clusters = cut(clusters.join(clusters.groupBy("g").agg(F.count("*").alias("size")), "g"), "near-clusters")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = []
+        for _, x in pdf.groupby("g", sort=False):
+            x = x.drop_duplicates("id")
+            sets, ids_ = [np.frombuffer(v, np.uint64) for v in x.s], x.id.to_numpy()
+            n, both = np.asarray([len(v) for v in sets], float), common(sets)
+            linked = (100 * both >= percent * (np.add.outer(n, n) - both)) & (both > 0)
+            edges += [(ids_[a], ids_[b]) for a, b in forest(linked)]
+        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    sets = shingles_of(documents, id_col, text_col, id_bitmap(clusters.select("id"), clusters.count()))
+    placed = in_tasks(clusters.join(sets, "id"), "g", "size")
+    comps = components(placed.groupBy("t", "i", "j").applyInPandas(links, "a long, b long"))
+
     # a copy's component is that of the document that stands for it
-    node = copies.join(comps, F.col("rep") == F.col("id"), "left").select(F.col("copy").alias("node"), F.coalesce("comp", "rep").alias("comp"))
-    node = node.unionByName(comps.select(F.col("id").alias("node"), "comp").join(copies, F.col("node") == F.col("copy"), "left_anti")).groupBy("node").agg(F.min("comp").alias("comp"))
-    out = all_.select("id", "n").join(node, F.col("id") == F.col("node"), "left")
+    node = copies.select(F.col("id").alias("node"), "rep").join(comps, F.col("rep") == F.col("id"), "left").select("node", F.coalesce("comp", "rep").alias("comp"))
+    node = node.unionByName(comps.select(F.col("id").alias("node"), "comp")).groupBy("node").agg(F.min("comp").alias("comp"))
     comp = F.coalesce("comp", "id")
+    out = sketches.select("id", "n").join(node, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
 
