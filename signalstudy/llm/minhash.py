@@ -27,7 +27,7 @@ BANDS, ROWS = 28, 5
 COORDINATES = BANDS * ROWS
 CHUNK_BYTES = 1 << 18
 #: Members of a group that one task compares with as many others.
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 1024
 #: Tasks that the smaller groups share.
 TASKS = 4096
 #: Buckets of so many members are told apart by their members alone.
@@ -277,7 +277,7 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = []
         for _, x in pdf.groupby("g", sort=False):
-            x = x.drop_duplicates("id")
+            x = x.drop_duplicates("id").sort_values("id")
             sig, n, ids_ = np.frombuffer(b"".join(x.sig), np.uint32).reshape(len(x), -1), x.n.to_numpy(), x.id.to_numpy()
             same = np.stack([(sig == row).sum(1) for row in sig]) >= least_equal
             same &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
@@ -292,7 +292,7 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = []
         for _, x in pdf.groupby("g", sort=False):
-            x = x.drop_duplicates("id")
+            x = x.drop_duplicates("id").sort_values("id")
             sets, ids_ = [np.frombuffer(v, np.uint64) for v in x.s], x.id.to_numpy()
             n, both = np.asarray([len(v) for v in sets], float), common(sets)
             linked = (100 * both >= percent * (np.add.outer(n, n) - both)) & (both > 0)
