@@ -23,7 +23,7 @@ MOST_ROWS = (4000, 2000)
 LEAST_TEXTS = 8
 #: N-grams without effect that every mean counts besides a text's own.
 PRIOR = 100
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 _SEPARATOR = np.zeros(0x3040, bool)
 _SEPARATOR[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -57,10 +57,10 @@ def ngram_buckets(texts: list[str], bits: int = BUCKET_BITS, ngrams: tuple[int,
     return np.concatenate(buckets), np.concatenate(docs)
 
 
-def _chunks(texts: list[str | None]):
+def _chunks(texts):
     """Runs of whole texts of about CHUNK_CHARS; one longer text is a run of its own."""
     run, size = [], 0
-    for t in texts:
+    for t in texts if isinstance(texts, list) else (x for lo in range(0, len(texts), 128) for x in texts.slice(lo, 128).to_pylist()):
         run.append(t or "")
         size += len(run[-1])
         if size >= CHUNK_CHARS:
@@ -75,7 +75,8 @@ class Model:
     effect: np.ndarray  # of each bucket on the log odds of class 1
     bias: float
 
-    def logits(self, texts: list[str | None]) -> np.ndarray:
+    def logits(self, texts) -> np.ndarray:
+        """texts: a list, or an Arrow array."""
         out = []
         for run in _chunks(texts):
             buckets, docs = ngram_buckets(run)
@@ -83,7 +84,7 @@ class Model:
             out.append(np.bincount(docs, self.effect[buckets], minlength=len(run)) / (n + PRIOR) + self.bias)
         return np.concatenate(out) if out else np.zeros(0)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -500, 500)))
 
 
@@ -93,29 +94,31 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
     share = (labels.sum() + 1) / (len(labels) + 2)
     if len(np.unique(labels)) < 2:
         return Model(np.zeros(1 << bits), float(np.log(share / (1 - share))))
-    texts = np.bincount(np.concatenate([b[0] for b in bags]), minlength=1 << bits)
+    texts = np.zeros(1 << bits, np.int32)
+    for ids, _ in bags:
+        texts[ids] += 1
     used = np.flatnonzero(texts >= min(LEAST_TEXTS, max(1, len(labels) // 20)))
     place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
-    bags = [(place[i][place[i] >= 0], s[place[i] >= 0]) for i, s in bags]
+    for k, (ids, shares) in enumerate(bags):  # in place: the caller's bags are not needed again
+        known = place[ids] >= 0
+        bags[k] = (place[ids][known], shares[known])
     rng = np.random.default_rng(seed)
     e = (rng.random((len(used), dim), np.float32) - 0.5) / dim
     w, b = (rng.random((dim, 2), np.float32) - 0.5), np.zeros(2, np.float32)
     e_sq, w_sq, b_sq = np.full(len(used), 1e-6, np.float32), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
     weight = (len(labels) / (2 * np.bincount(labels, minlength=2)))[labels].astype(np.float32)
     order = rng.permutation(len(labels))
-    packs = []
-    for lo in range(0, len(order), batch):
-        at = order[lo : lo + batch]
-        ids, share_ = np.concatenate([bags[i][0] for i in at]), np.concatenate([bags[i][1] for i in at])
-        row = np.repeat(np.arange(len(at)), [len(bags[i][0]) for i in at])
-        if len(ids):
+    for _ in range(epochs):
+        for lo in rng.permutation(np.arange(0, len(order), batch)):
+            at = order[lo : lo + batch]
+            ids, part = np.concatenate([bags[i][0] for i in at]), np.concatenate([bags[i][1] for i in at])[:, None]
+            row = np.repeat(np.arange(len(at)), [len(bags[i][0]) for i in at])
+            if not len(ids):
+                continue
             by = np.argsort(ids, kind="stable")
             first = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
-            packs.append((at, ids.astype(np.int32), share_.astype(np.float32)[:, None], row.astype(np.int32), by.astype(np.int32), first.astype(np.int32), ids[by][first].astype(np.int32)))
-    for _ in range(epochs):
-        for k in rng.permutation(len(packs)):
-            at, ids, part, row, by, first, own = packs[k]
+            own = ids[by][first]
             starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             mean = np.zeros((len(at), dim), np.float32)
             mean[row[starts]] = np.add.reduceat(e[ids] * part, starts)
@@ -155,7 +158,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     kind = rows.schema["id"].dataType.simpleString()
     found = sorted(rows.select("id", F.col("label").cast("int"), "text").mapInArrow(bags, f"id {kind}, label int, ids binary, share binary").collect(), key=lambda r: (r.id, bytes(r.ids)))
-    return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32)) for r in found], np.asarray([r.label for r in found], int))
+    bags_ = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32)) for r in found]
+    found = [r.label for r in found]
+    return train(bags_, np.asarray(found, int))
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +170,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches):
         m = Model(*held.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.scores(b.column(1).to_pylist()), pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.scores(b.column(1)), pa.float64())], names=["id", "score"])
 
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
@@ -179,6 +184,6 @@ def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", thres
     def run(batches):
         m = Model(*held.value)
         for b in batches:
-            yield b.filter(pa.array(m.scores(b.column(at).to_pylist()) < threshold))
+            yield b.filter(pa.array(m.scores(b.column(at)) < threshold))
 
     return documents.mapInArrow(run, documents.schema)
