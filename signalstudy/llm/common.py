@@ -38,3 +38,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def norm_ws(col):
     """Each run of white space becomes one space; null becomes the empty text."""
     return F.regexp_replace(F.coalesce(col, F.lit("")), WS, " ")
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Texts go to Python in Arrow batches of at most so many rows: some are very long, and workers' memory is small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,8 +7,8 @@ the merges of the two pieces' joined text give just these two pieces, infinite o
 the merges exactly if all its neighbours are such pairs, so the one path of finite weight is the encoding, and no state
 needs more than one predecessor. Runs of the space mark, where merges tie, are weighed by their merges directly.
 
-Text is cut where no piece can reach across: before a space mark that follows anything else, and around characters that no
-longer piece holds. A bounded memory keeps the encodings of segments met before.
+Text is cut where no piece can reach across: before a space mark that follows anything else, between a letter and a mark
+that follows a letter in no piece, and around characters that no longer piece holds. A bounded memory keeps the encodings of segments met before.
 """
 
 from __future__ import annotations
@@ -23,10 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = "▁"
 #: Segments whose encodings a worker remembers.
 MEMORY = 400_000
+#: Pairs of pieces whose weights a worker remembers.
+PAIRS = 200_000
 INF = float("inf")
+LETTER = r"[^\W\d_]"
 
 
 def _fields(raw: bytes):
@@ -100,12 +105,16 @@ class Transducer:
         self.kind = np.dtype("<u2" if len(self.pieces) <= 1 << 16 else "<u4")
         self.pairs: dict = {}
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         inside = {c for p in self.id_of for c in p if len(p) > 1}
         spans = any(SPACE in p.lstrip(SPACE) for p in self.id_of)
         self.cuts = None
         if not spans:
             alone = "".join(re.escape(c) for c in ("\n", "\t", "\r") if c not in inside)
-            self.cuts = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")) if self.bpe else None
+            # marks that follow a letter in no piece: a run of letters ends before them
+            after = {p[k] for p in self.id_of for k in range(1, len(p)) if re.match(LETTER, p[k - 1])}
+            ends = "".join(re.escape(c) for c in ".,;:!?|()-'\"" if c not in after)
+            self.cuts = re.compile(f"{SPACE}*+{LETTER}++(?![^{SPACE}{alone}{ends}])|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")) if self.bpe else None
         self.least_single = min([0.0, *(s for s, k in zip(scores, self.kinds) if k == NORMAL)]) - 10.0
         raw_bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.out_len = np.asarray([len(b) for b in raw_bytes], np.int64)
@@ -156,7 +165,7 @@ class Transducer:
                     else:
                         continue
                 if back[j] is None:
-                    ok = True if last is None else pairs.get((last, piece))
+                    ok = True if last is None else pairs.get(last << 32 ^ piece)
                     if ok is None:
                         ok = self._finite(last, piece, text, back[i][0], i, j)
                     if ok:
@@ -170,11 +179,12 @@ class Transducer:
         return out[::-1]
 
     def _finite(self, last: int, piece: int, text: str, start: int, i: int, j: int) -> bool:
-        ok = self.pairs.get((last, piece))
+        key = last << 32 ^ piece
+        ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) >= 4 * MEMORY:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[last, piece] = self._weight(text[start:i], text[i:j]) < INF
+            ok = self.pairs[key] = self._weight(text[start:i], text[i:j]) < INF
         return ok
 
     def _path_unigram(self, text: str) -> list[int]:
@@ -203,6 +213,10 @@ class Transducer:
 
     def segment(self, text: str) -> bytes:
         """The packed ids of a normalised segment."""
+        packed = self.older.get(text)
+        if packed is not None:
+            self._keep(text, packed)
+            return packed
         if not self.bpe:
             path = self._path_unigram(text)
         elif text.startswith(SPACE * 2):
@@ -218,20 +232,28 @@ class Transducer:
             ids += [self.unknown] if None in fallback else fallback
         packed = np.asarray(ids, self.kind).tobytes()
         if len(text) <= 64:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[text] = packed
+            self._keep(text, packed)
         return packed
 
+    def forget(self) -> None:
+        """Give the memory back when a task is over: its worker lives on."""
+        self.memory, self.older, self.pairs = {}, {}, {}
+
+    def _keep(self, text: str, packed: bytes) -> None:
+        """Two generations of half of MEMORY each: what is not met again during a generation is forgotten."""
+        if len(self.memory) >= MEMORY // 2:
+            self.older, self.memory = self.memory, {}
+        self.memory[text] = packed
+
     def encode(self, text: str) -> np.ndarray:
         if self.trim:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return np.zeros(0, self.kind)
         text = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-        known, segment = self.memory.get, self.segment
+        segment = self.segment
         parts = self.cuts.findall(text) if self.cuts else [text]
-        return np.frombuffer(b"".join([known(p) or segment(p) for p in parts]), self.kind)
+        return np.frombuffer(b"".join([self.memory.get(p) or segment(p) for p in parts]), self.kind)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8 bytes; the dummy prefix's space is taken off again."""
@@ -264,6 +286,7 @@ def encode(documents: DataFrame, model: bytes, text_col: str = "text", ids_col:
     A null text has null ids, an empty one none. Whole texts are encoded. The ids are those of the model's own merges
     (BPE) or best path (unigram), without begin and end marks.
     """
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_col)
     keep = [c for c in documents.columns if c != ids_col]
@@ -282,6 +305,7 @@ def encode(documents: DataFrame, model: bytes, text_col: str = "text", ids_col:
                 flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
                 lists = pa.ListArray.from_arrays(pc.if_else(nulls, pa.scalar(None, pa.int32()), pa.array(offsets)), flat)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, 512).columns, lists], names=[*keep, ids_col])
+        t.forget()
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{kind}, `{ids_col}` array<int>")
@@ -291,6 +315,7 @@ def decode(documents: DataFrame, model: bytes, ids_col: str = "token_ids", text_
     """documents with the text of their ids. Null ids give null, no ids the empty text; a literal U+2581 of the text
     encoded comes back as a space, since pieces don't tell the two apart. Bytes that are no UTF-8 become U+FFFD.
     """
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in documents.columns if c != text_col]
     rows = documents.select(*[F.col(f"`{c}`") for c in keep])
