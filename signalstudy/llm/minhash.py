@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 SHINGLE = 5
 BANDS, ROWS = 28, 5
@@ -140,6 +140,7 @@ def sketch(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "n", "words", "sig", "keys"],
                 )
 
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "id long, n long, words binary, sig binary, keys array<long>")
 

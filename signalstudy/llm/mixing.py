@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -79,6 +79,7 @@ def curriculum(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     agree. Null sources are one source. A source without words takes nothing. An empty table gives no rows.
     """
     schedules = [tuple((float(t), float(w)) for t, w in s) for s in schedules]
+    small_batches(df.sparkSession)
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, source_col)]
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_words, f"id {kinds[0]}, source {kinds[1]}, size long")
     rows = cut(rows.withColumn("h", F.xxhash64("id", F.lit(seed))), "mix-sizes")

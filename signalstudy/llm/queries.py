@@ -55,7 +55,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.curriculum(table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0)))
-    return out.orderBy("position").select("doc_id", "size", "source_size", "target", "taken", "position")
+    return out.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 SEEKABLE_MAGIC = 0x8F92EAB1
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -123,6 +123,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     largest id are all responses. Control characters and spaces in a url are percent-encoded, a null url is empty.
     An empty table gives no bundles.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     shared = rows.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null").select("digest", "first_id")
