@@ -44,3 +44,21 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Texts go to Python in Arrow batches of at most so many rows: some are very long, and workers' memory is small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def drop_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """df without the rows whose id is in ids (one column, _id). Null ids stay.
+
+    A bitmap of hashed ids, 16 bits an id and 16 MB at most, is broadcast: rows without their bit stay where they are,
+    and only the others, mostly rows to drop, are shuffled for the exact join.
+    """
+    bits = min(max(20, (16 * max(ids.count(), 1) - 1).bit_length()), 27)
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    at, bit = F.col("_place"), F.col("_place") % 32768
+    bitmap = ids.select(place(F.col("_id").cast("long")).alias("_place")).groupBy((F.floor(at / 32768)).alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    marked = df.withColumn("_place", place(F.col(f"`{id_col}`").cast("long"))).withColumn("_bucket", F.floor(at / 32768)).join(F.broadcast(bitmap.limit(1 << (bits - 15))), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2.0), bit % 8).cast("int")) != 0, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()
+    names = [F.col(f"`{c}`") for c in df.columns]
+    sure, unsure = marked.filter(~hit).select(*names), marked.filter(hit).select(*names)
+    return sure.unionByName(unsure.join(ids, F.col(f"`{id_col}`") == F.col("_id"), "left_anti"))

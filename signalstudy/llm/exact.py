@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, norm_ws
+from .common import cut, drop_ids, norm_ws
 
 #: Counters of a summary: bounds the broadcast, and digests of over 2/k of all rows are sure to be found.
 COUNTERS = 1024
@@ -68,7 +68,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
     """df without the rows whose text another row with a smaller id has. Rows that repeat both id and text are one row."""
     groups = cut(exact_groups(df, id_col, text_col, k).select(F.col(id_col).alias("_id"), "kept"), "exact-kept")
-    left = df.join(groups.filter("not kept").select("_id").distinct(), F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    left = drop_ids(df, id_col, cut(groups.filter("not kept and _id is not null").select("_id").distinct(), "exact-dropped"))
     again = groups.filter("kept and _id is not null").groupBy("_id").count().filter("count > 1")
     if not again.take(1):
         return left

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, drop_ids, small_batches
 
 SHINGLE = 5
 BANDS, ROWS = 28, 5
@@ -315,4 +315,4 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """documents with one of each group: the smallest id. Rows without words or with a null id stay."""
     groups = near_groups(documents, id_col, text_col, percent).filter("not kept").select(F.col(id_col).alias("_id")).distinct()
-    return documents.join(cut(groups, "near-dropped"), F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    return drop_ids(documents, id_col, cut(groups, "near-dropped"))
