@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -40,6 +41,14 @@ def norm_ws(col):
     return F.regexp_replace(F.coalesce(col, F.lit("")), WS, " ")
 
 
+def give_back() -> None:
+    """Return freed memory to the system when a task's Python part is over: its worker stays and others need the room."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Texts go to Python in Arrow batches of at most so many rows: some are very long, and workers' memory is small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):

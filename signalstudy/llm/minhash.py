@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_ids, small_batches
+from .common import cut, drop_ids, give_back, small_batches
 
 SHINGLE = 5
 BANDS, ROWS = 28, 5
@@ -139,6 +139,7 @@ def sketch(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
                     names=["id", "n", "words", "sig", "keys"],
                 )
+        give_back()
 
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -180,6 +181,7 @@ def shingles_of(documents: DataFrame, id_col: str, text_col: str, bitmap: bytes)
         for b in batches:
             for at, some in _runs(b.column("text")):
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(some)), pa.array([s.tobytes() for s in shingle_sets(some)], pa.binary())], names=["id", "s"])
+        give_back()
 
     return with_bit(texts, bitmap).mapInArrow(run, "id long, s binary")
 
@@ -298,6 +300,8 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             n, both = np.asarray([len(v) for v in sets], float), common(sets)
             linked = (100 * both >= percent * (np.add.outer(n, n) - both)) & (both > 0)
             edges += [(ids_[a], ids_[b]) for a, b in forest(linked)]
+        if len(pdf) >= BLOCK_MEMBERS // 2:
+            give_back()
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
     sets = shingles_of(documents, id_col, text_col, id_bitmap(clusters.select("id"), clusters.count()))

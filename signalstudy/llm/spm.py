@@ -23,11 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 SPACE = "▁"
 #: Segments whose encodings a worker remembers.
-MEMORY = 400_000
+MEMORY = 240_000
 #: Pairs of pieces whose weights a worker remembers.
 PAIRS = 200_000
 INF = float("inf")
@@ -238,6 +238,7 @@ class Transducer:
     def forget(self) -> None:
         """Give the memory back when a task is over: its worker lives on."""
         self.memory, self.older, self.pairs = {}, {}, {}
+        give_back()
 
     def _keep(self, text: str, packed: bytes) -> None:
         """Two generations of half of MEMORY each: what is not met again during a generation is forgotten."""
@@ -280,16 +281,17 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(documents: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode(documents: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "token_ids", check_col: str | None = None) -> DataFrame:
     """documents with the text's piece ids, array<int>, in place of any column of that name.
 
     A null text has null ids, an empty one none. Whole texts are encoded. The ids are those of the model's own merges
-    (BPE) or best path (unigram), without begin and end marks.
+    (BPE) or best path (unigram), without begin and end marks. check_col adds whether the ids decode to the text (null for
+    a null text), found where the ids are made.
     """
     small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_col)
-    keep = [c for c in documents.columns if c != ids_col]
+    keep = [c for c in documents.columns if c not in (ids_col, check_col)]
     rows = documents.select(*[F.col(f"`{c}`") for c in keep])
     at = keep.index(text_col)
 
@@ -304,11 +306,15 @@ def encode(documents: DataFrame, model: bytes, text_col: str = "text", ids_col:
                 nulls = pa.array([x is None for x in some] + [False])
                 flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
                 lists = pa.ListArray.from_arrays(pc.if_else(nulls, pa.scalar(None, pa.int32()), pa.array(offsets)), flat)
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, 512).columns, lists], names=[*keep, ids_col])
+                columns, names = [*batch.slice(lo, 512).columns, lists], [*keep, ids_col]
+                if check_col:
+                    columns.append(pa.array([t.decode_bytes(i) == x.encode() if x is not None else None for i, x in zip(ids, some)], pa.bool_()))
+                    names.append(check_col)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
         t.forget()
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{kind}, `{ids_col}` array<int>")
+    return rows.mapInArrow(run, f"{kind}, `{ids_col}` array<int>" + (f", `{check_col}` boolean" if check_col else ""))
 
 
 def decode(documents: DataFrame, model: bytes, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -330,6 +336,7 @@ def decode(documents: DataFrame, model: bytes, ids_col: str = "token_ids", text_
             for k in range(batch.num_rows):
                 out.append(t.decode_bytes(values[offsets[k] : offsets[k + 1]]).decode("utf-8", "replace") if valid[k] else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*keep, text_col])
+        give_back()
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{kind}, `{text_col}` string")

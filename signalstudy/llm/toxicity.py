@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 NGRAMS = (3, 4, 5)
 BUCKET_BITS = 20
@@ -190,5 +190,6 @@ def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", thres
         m = Model(*held.value)
         for b in batches:
             yield b.filter(pa.array(m.scores(b.column(at)) < threshold))
+        give_back()
 
     return documents.mapInArrow(run, documents.schema)
