@@ -59,19 +59,26 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     m = cut(m.withColumn("row", F.monotonically_increasing_id()), "quotes-messages")
     said = m.select("conv", "turn", "row", F.explode("passages").alias("p")).select("conv", "turn", "row", "p.level", "p.h", "p.at")
     own, quoted = said.filter("level = 0"), said.filter("level > 0")
-    # as-of in the conversation: the greatest turn below the quote's at which the passage is said
-    both = own.filter("turn is not null").groupBy("conv", "h", "turn").agg(F.lit(None).cast("long").alias("row"), F.lit(0).alias("level"), F.lit(0).alias("at")).unionByName(quoted)
-    earlier = Window.partitionBy("conv", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    asof = both.withColumn("to", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)).filter("level > 0")
+    # as-of in the conversation: the greatest turn below the quote's at which the passage is said. Turns meet within
+    # buckets, then with the last such turn of the buckets before, so one passage all over a huge conversation is not one task
+    points = said.filter("turn is not null").groupBy("conv", "h", "turn").agg(F.max(F.when(F.col("level") == 0, F.col("turn"))).alias("last"), F.max("level").alias("deepest")).withColumn("bucket", F.floor(F.col("turn") / TURNS_A_BUCKET))
+    inside = F.max("last").over(Window.partitionBy("conv", "h", "bucket").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.max("last").over(Window.partitionBy("b_conv", "b_h").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    ends = points.groupBy(F.col("conv").alias("b_conv"), F.col("h").alias("b_h"), F.col("bucket").alias("b_bucket")).agg(F.max("last").alias("last")).withColumn("earlier", earlier).filter("earlier is not null").drop("last")
+    asof = points.withColumn("inside", inside).filter("deepest > 0").join(ends, F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("h") == F.col("b_h")) & (F.col("bucket") == F.col("b_bucket")), "left")
+    asof = asof.select(F.col("conv").alias("p_conv"), F.col("h").alias("p_h"), F.col("turn").alias("p_turn"), F.coalesce("inside", "earlier").alias("to")).filter("to is not null")
+    linked = quoted.join(asof, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("h") == F.col("p_h")) & (F.col("turn") == F.col("p_turn")), "left").drop("p_conv", "p_h", "p_turn")
     # for the rest, the first message anywhere and the first outside that conversation
     place = F.struct(F.col("conv"), F.col("turn"))
     firsts = own.groupBy("conv", "h").agg(F.min("turn").alias("turn")).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     other = (~F.col("first.conv").eqNullSafe(F.col("conv"))) | (~F.col("last.conv").eqNullSafe(F.col("conv")))
-    links = asof.join(firsts, "h", "left").withColumn("foreign", F.col("to").isNull() & F.col("first").isNotNull() & other)
+    links = linked.join(firsts, "h", "left").withColumn("foreign", F.col("to").isNull() & F.col("first").isNotNull() & other)
     best = F.min(F.when(F.col("to").isNotNull(), F.struct("level", "at", "to")))
     per = links.groupBy("row").agg(F.count("*").alias("n_quotes"), F.count("to").alias("n_linked"), F.count(F.when(F.col("foreign"), 1)).alias("n_foreign"), F.max("level").alias("max_level"), best.alias("best"))
     # positions: within buckets of turns, then shifted by the buckets before, so a huge conversation is not one task
-    m = m.withColumn("bucket", F.floor(F.coalesce("turn", F.lit(-1)) / TURNS_A_BUCKET)).withColumn("within", F.row_number().over(Window.partitionBy("conv", "bucket").orderBy("turn", "row")))
+    # messages without a turn come before all buckets of turns, in buckets of their row numbers
+    untimed = F.lit(-(1 << 62)) + F.shiftright("row", 12)
+    m = m.withColumn("bucket", F.coalesce(F.floor(F.col("turn") / TURNS_A_BUCKET), untimed)).withColumn("within", F.row_number().over(Window.partitionBy("conv", "bucket").orderBy("turn", "row")))
     before = F.sum("n").over(Window.partitionBy("b_conv").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1))
     ahead = m.groupBy(F.col("conv").alias("b_conv"), F.col("bucket").alias("b_bucket")).agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(before, F.lit(0))).filter("ahead > 0")
     m = m.join(ahead, F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("bucket") == F.col("b_bucket")), "left").join(per, "row", "left")

@@ -208,6 +208,25 @@ def test_quotes(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id string, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_hot_passage(spark, monkeypatch):
+    """One passage said and quoted all over one conversation, whose turns span many buckets, against a plain loop."""
+    monkeypatch.setattr(quotes, "TURNS_A_BUCKET", 4)
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 3 else "c", int(t), "u", ("> Thanks\n\nok" if rng.random() < 0.5 else "Thanks") + f"\n\nn{k}") for k, t in enumerate(rng.integers(-40, 40, 300))]
+    rows += [("c", None, "u", f"> Thanks\n\nnone{k}") for k in range(5)]
+    got = {r.text.split("\n")[-1]: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    for conv, turn, _, text in rows:
+        r = got[text.split("\n")[-1]]
+        before = [t for c, t, _, x in rows if c == conv and x.startswith("Thanks") and turn is not None and t is not None and t < turn]
+        assert r.parent_turn == (max(before, default=None) if text.startswith(">") else None)
+    for conv in ("c", None):
+        mine = sorted((r for r in got.values() if r.conv_id == conv), key=lambda r: r.position)
+        assert [r.position for r in mine] == list(range(1, len(mine) + 1))
+        turns = [-1000 if r.turn is None else r.turn for r in mine]
+        assert turns == sorted(turns)
+
+
 def test_url_filter(spark):
     entries = spark.createDataFrame([("b.com", "block", "2024-01-10"), ("b.com", "allow", "2024-02-01"), ("x.b.com", "allow", "2024-01-15"), (None, "block", "2024-01-01")], "pattern string, action string, added string").withColumn("added", F.to_timestamp("added"))
     rows = [(1, "http://b.com/", "2024-01-09"), (2, "https://u@A.B.com.:80/p", "2024-01-10"), (3, "http://x.b.com", "2024-01-20"), (4, "http://b.com", "2024-02-01"), (5, None, "2024-01-20"), (6, "http://b.com", None), (7, "http://notb.com", "2024-01-20")]
