@@ -21,6 +21,8 @@ M = 16
 EF_BUILD = 96
 EF_SEARCH = 128
 BLOCK = 256
+#: Dimensions that a broadcast table of them may have.
+MOST_DIMENSIONS = 4096
 
 
 def search_layer(x: np.ndarray, nbr: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -171,19 +173,27 @@ class Graph:
 def classes(df: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
     """One row per distinct vector: cid (its smallest id), vector array<double>, ids (its keep smallest ids), dim.
 
+    Rows that repeat id and vector count once.
+
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id.
     """
     v = F.col("vector")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double") + F.lit(0.0)).alias("vector"))
     rows = rows.filter(F.col("id").isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0))
-    few = rows.withColumn("k", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).filter(F.col("k") <= keep)
-    return few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("cid", F.col("ids")[0]).withColumn("dim", F.size("vector"))
+    few = rows.withColumn("k", F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))).filter(F.col("k") <= keep)
+    return few.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("cid", F.col("ids")[0]).withColumn("dim", F.size("vector"))
+
+
+def by_dimension(df: DataFrame, shards: DataFrame) -> DataFrame:
+    """df with the shards of its dimension. They are broadcast while they are few, else joined by a shuffle."""
+    few = shards.limit(MOST_DIMENSIONS + 1).count() <= MOST_DIMENSIONS
+    return df.join(F.broadcast(shards) if few else shards, "dim")
 
 
 def build_index(cls: DataFrame, shard_rows: int = 8192) -> DataFrame:
     """dim, shard, graph binary, ids: one row per shard of about shard_rows distinct vectors of one dimension."""
     n = cls.groupBy("dim").count().withColumn("shards", F.ceil(F.col("count") / shard_rows).cast("int")).select("dim", "shards")
-    sharded = cls.join(F.broadcast(n.limit(4096)), "dim").withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int"))
+    sharded = by_dimension(cls, n).withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid")
@@ -199,17 +209,19 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     Returns query_id, rank int from 1, vec_id, score double; nearest first, ties to the smaller id. Equal vectors are
     indexed once and given back as all their rows. A query meets vectors of its own dimension. Every shard's graph
     answers queries in waves of about wave_rows, so no task holds more than a shard and a wave. Fewer candidates than k
-    give fewer rows; an empty table gives none.
+    give fewer rows; an empty table gives none. Rows that repeat id and vector count once; where rows of one id hold
+    several vectors, the least is the query, none of them its candidate, and each a candidate of other queries.
     """
     cls = cut(classes(df, id_col, vector_col, k + 1), "hnsw-classes")
     index = build_index(cls, shard_rows)
     # of equal vectors more than k + 1 may be queries: their ids come from the table
     q = df.filter(F.pmod(F.col(f"`{id_col}`").cast("long"), F.lit(every)) == 0).select(F.col(f"`{id_col}`").cast("long").alias("query_id"), F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double") + F.lit(0.0)).alias("vector"))
     v = F.col("vector")
-    q = q.filter(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)).withColumn("dim", F.size("vector"))
+    q = q.filter(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0))
+    q = q.groupBy("query_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     waves = max(1, ceil(q.count() / wave_rows))
     shards = index.select("dim", F.col("shards")).distinct()
-    asked = q.join(F.broadcast(shards.limit(4096)), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("wave", F.pmod(F.xxhash64("query_id"), F.lit(waves)).cast("int"))
+    asked = by_dimension(q, shards).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("wave", F.pmod(F.xxhash64("query_id"), F.lit(waves)).cast("int"))
     graphs = index.select("dim", "shard", "graph", "ids", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))).alias("wave"))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

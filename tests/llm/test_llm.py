@@ -160,6 +160,14 @@ def test_nearest(spark):
     assert hnsw.nearest(df.filter("vec_id < 0")).count() == 0
 
 
+def test_nearest_repeats(spark, monkeypatch):
+    """Rows that repeat, ids with several vectors, and more dimensions than are broadcast."""
+    monkeypatch.setattr(hnsw, "MOST_DIMENSIONS", 1)
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (20, [3.0, 1.0]), (20, [2.0, 1.0]), (3, [0.5, 0.5]), (40, [1.0, 2.0, 3.0]), (5, [1.0, 1.0, 1.0]), (None, [1.0, 0.0])]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 20, 3.0), (0, 2, 20, 2.0), (0, 3, 1, 1.0), (0, 4, 3, 0.5), (20, 1, 0, 2.0), (20, 2, 1, 2.0), (20, 3, 3, 1.5), (40, 1, 5, 6.0)]
+
+
 def test_warc(spark):
     rows = [(1, "http://a b\n", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 400_000), (None, "u", "x"), (2, None, "x")]
     bundles = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), frame_bytes=1000)
