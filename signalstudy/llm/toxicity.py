@@ -22,7 +22,7 @@ BUCKET_BITS = 20
 #: Bounds of the labelled rows of class 0 and 1 that a model is fitted on; beyond them, those of the smallest hashed ids.
 MOST_ROWS = (4000, 2000)
 #: N-grams of fewer training texts have no embedding.
-LEAST_TEXTS = 8
+LEAST_TEXTS = 3
 #: N-grams without effect that every mean counts besides a text's own.
 PRIOR = 100
 CHUNK_CHARS = 1 << 18
@@ -90,8 +90,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -500, 500)))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 4, epochs: int = 10, rate: float = 0.5, batch: int = 64, bits: int = BUCKET_BITS, seed: int = 1) -> Model:
-    """bags: distinct buckets of each text and their shares. Classes weigh alike. One class or none gives a constant."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 4, epochs: int = 10, steps: int = 1500, rate: float = 0.5, batch: int = 64, bits: int = BUCKET_BITS, seed: int = 1) -> Model:
+    """bags: distinct buckets of each text and their shares. Classes weigh alike. One class or none gives a constant.
+
+    The texts are passed epochs times, or as often as makes steps batches: few texts need more passes.
+    """
     labels = np.asarray(labels, int)
     share = (labels.sum() + 1) / (len(labels) + 2)
     if len(np.unique(labels)) < 2:
@@ -111,7 +114,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
     e_sq, w_sq, b_sq = np.full(len(used), 1e-6, np.float32), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
     weight = (len(labels) / (2 * np.bincount(labels, minlength=2)))[labels].astype(np.float32)
     order = rng.permutation(len(labels))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps // -(-len(order) // batch)))):
         for lo in rng.permutation(np.arange(0, len(order), batch)):
             at = order[lo : lo + batch]
             ids, part = np.concatenate([bags[i][0] for i in at]), np.concatenate([bags[i][1] for i in at])[:, None]
