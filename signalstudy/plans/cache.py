@@ -9,6 +9,7 @@ import json
 import os
 import shutil
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,11 +75,13 @@ class EventResultCache:
         os.replace(temp, entry)
 
 
-def run_cached(panel: DataFrame, events: list[Event], config: EventStudyConfig, cache: EventResultCache, refresh: bool = False, request: dict | None = None) -> tuple[EventStudyResult, dict[str, bool]]:
+def run_cached(panel: DataFrame, events: list[Event], config: EventStudyConfig, cache: EventResultCache, refresh: bool = False, request: dict | None = None, factors: Sequence[str] = ()) -> tuple[EventStudyResult, dict[str, bool]]:
     """Events met before come from the cache, the others are computed one by one; q-values and verdicts are made anew over
-    all of them. Returns the combined result and which events were hits."""
+    all of them. Group summaries of the factors belong to no event: they are computed at every run, also when all events
+    were hits. Returns the combined result and which events were hits."""
     from ..operators import inference
-    from .study import EventStudyRunner
+    from ..operators.labels import labels_long
+    from .study import EventStudyRunner, group_summaries
 
     spark, hits, parts = panel.sparkSession, {}, []
     for event in events:
@@ -97,7 +100,7 @@ def run_cached(panel: DataFrame, events: list[Event], config: EventStudyConfig,
             out = out.unionByName(f, allowMissingColumns=True)
         return out
 
-    combined = EventStudyResult(**{t: union(t) for t in TABLES})
+    combined = EventStudyResult(**{t: union(t) for t in TABLES}, groups=group_summaries(panel, factors, labels_long(panel, config.horizons, config.label_types)))
     judged = combined.summary.drop("q_value", "verdict", "assessment", "action_hint", "significant_fdr")
     combined.summary = inference.assess(inference.bh_fdr(judged), config.significance_level, config.min_events)
     combined.recent = combined.recent.orderBy(F.desc("date"), "event")

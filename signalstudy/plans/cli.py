@@ -43,12 +43,13 @@ def main(argv: list[str] | None = None) -> None:
     panel = source.load_market_panel(spark, args.data, source.required_collections(events), **where)
     panel = source.add_columns(panel, {n: source.load_field(spark, args.data, s, n, **where) for n, s in source.required_factors(events).items()})
     panel = source.add_columns(panel, {"lncap": source.load_style_controls(spark, args.data, **where)}).persist()
+    factors = list(source.required_factors(events))
     out = args.output_dir or "outputs"
     if args.use_cache and args.cache_dir:
-        result, hits = cache.run_cached(panel, events, study, cache.EventResultCache(args.cache_dir), args.refresh_cache, where)
+        result, hits = cache.run_cached(panel, events, study, cache.EventResultCache(args.cache_dir), args.refresh_cache, where, factors)
         print("cache:", hits)
     else:
-        result = EventStudyRunner(panel, events, study, list(source.required_factors(events))).run()
+        result = EventStudyRunner(panel, events, study, factors).run()
     report.write_tables(result, out)
     report.render(result, f"{out}/report.html", args.report_max_rows or 100_000)
     result.summary.select("event", "label", "mode", "events", "excess_mean", "signal_edge", "bootstrap_p", "q_value", "verdict", "significant_fdr").limit(20).show(truncate=False)

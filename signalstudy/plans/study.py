@@ -73,6 +73,15 @@ def recent_events(triggers: DataFrame, panel: DataFrame, labels: DataFrame, hori
     return out.orderBy(F.desc("date"), "event").select("event", F.date_format("date", "yyyy-MM-dd").alias("date"), "code", "close", *[f"ret_{h}d" for h in horizons])
 
 
+def group_summaries(panel: DataFrame, names: Sequence[str], labels: DataFrame) -> DataFrame | None:
+    """Per factor, label and quantile group the summary of the return labels, or None without factors."""
+    out = None
+    for name in names:
+        g = factors.group_label_summary(factors.quantile_groups(panel, name), labels.filter(F.col("label").startswith("ret_"))).withColumn("factor", F.lit(name))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 @dataclass
 class EventStudyRunner:
     """panel: date, t, code, fields, styles and factors. event_matrices: name -> (date, code[, flag]) of external triggers,
@@ -120,10 +129,7 @@ class EventStudyRunner:
         s = s.na.fill(0.0, ["bootstrap_clusters", "evaluated_years"]).withColumn("residualized", F.lit(c.residualize_styles)).withColumn("bootstrap_method", F.lit("date_cluster"))
         summary = inference.assess(inference.bh_fdr(inference.directed(s)), c.significance_level, c.min_events)
         observed = paths.path_observations(triggers, panel, c.window_before, c.window_after)
-        groups = None
-        for name in self.factors:
-            g = factors.group_label_summary(factors.quantile_groups(panel, name), raw.filter(F.col("label").startswith("ret_"))).withColumn("factor", F.lit(name))
-            groups = g if groups is None else groups.unionByName(g)
+        groups = group_summaries(panel, self.factors, raw)
         result = EventStudyResult(triggers, summary, obs.join(F.broadcast(info), "event"), observed, paths.path_summary(observed), recent_events(triggers, panel, raw, c.horizons), groups)
         if with_backtests:
             result.backtests, result.metrics = backtest.run_grid(panel, triggers, c.horizons, c.backtest_fees, c.annualization, c.risk_free_rate)

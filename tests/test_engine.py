@@ -185,6 +185,25 @@ def test_cache(spark, strong, tmp_path):
     assert "const DATA=" in (tmp_path / "r.html").read_text() and (tmp_path / "out/event_summary.csv").read_bytes()[:3] == b"\xef\xbb\xbf"
 
 
+def test_cached_groups(spark, tmp_path):
+    from signalstudy.plans.cache import EventResultCache, run_cached
+    from signalstudy.plans.report import write_tables
+
+    r = np.random.default_rng(3)
+    p = panel_of(spark, {c: list(100 + r.random(30)) for c in "AB"}, score={c: list(r.random(30)) for c in "AB"}).persist()
+    s = EventStudyConfig(horizons=(1,), n_bootstrap=9, control_modes=("same_date",), window_before=1, window_after=1)
+    c, event = EventResultCache(str(tmp_path / "cache")), FactorExtremeEvent("score", "score_source")
+    rows = lambda result: sorted((x.factor, x.label, x.group, x["count"], round(x.mean, 9), round(x.excess_mean, 9)) for x in result.groups.collect())
+    want = rows(EventStudyRunner(p, [event], s, ["score"]).run())
+    assert len(want) == 5
+    for hit in (False, True):
+        result, hits = run_cached(p, [event], s, c, factors=["score"])
+        assert hits == {event.name: hit} and rows(result) == want
+    write_tables(result, str(tmp_path / "out"))
+    assert len(pd.read_csv(tmp_path / "out/event_groups.csv")) == 5
+    assert run_cached(p, [event], s, c)[0].groups is None
+
+
 def test_stream_purge(spark, tmp_path):
     from signalstudy.streaming import purge_stream
 
