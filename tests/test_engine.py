@@ -1,6 +1,9 @@
 """Fixtures F1 to F13 of FIXTURES.md, and the catalogue against SQL."""
 
 import datetime as dt
+import json
+import shutil
+import subprocess
 
 import numpy as np
 import pandas as pd
@@ -204,6 +207,48 @@ def test_cached_groups(spark, tmp_path):
     assert run_cached(p, [event], s, c)[0].groups is None
 
 
+PAGE = """
+const els={},document={getElementById:k=>els[k]??={value:'',n:0,add(o){if(!this.n++)this.value=o.value},addEventListener(){}}};
+function Option(text,value){this.value=String(value)}
+"""
+
+
+def test_report_page(spark, tmp_path):
+    """The page's own script, run by node: one control mode at a time, paths of the date window, all curves."""
+    from signalstudy.plans.report import render
+
+    r = np.random.default_rng(5)
+    p = panel_of(spark, {c: list(100 * np.cumprod(1 + r.normal(0, 0.02, 40))) for c in "ABCDEF"}, lncap={c: [float(k)] * 40 for k, c in enumerate("ABCDEF")}).persist()
+    cells = p.filter(F.col("t").isin(5, 12, 20, 27)).filter(F.col("code").isin("A", "D")).select("date", "code")
+    config = EventStudyConfig(horizons=(1, 3), n_bootstrap=49, purge_days=0, style_bins=2, min_controls=1, window_before=1, window_after=2, backtest_fees=(0.0, 0.01))
+    result = EventStudyRunner(p, (), config, event_matrices={"e": cells}, event_meta={"e": EventMeta("e", "entry", 0)}).run()
+    render(result, str(tmp_path / "r.html"))
+    page = (tmp_path / "r.html").read_text()
+    assert "<select id=mode>" in page
+    if not shutil.which("node"):
+        pytest.skip("no node to run the page")
+    ask = "els.mode.value=process.argv[2];els.label.value='ret_3d';els.from.value='2024-01-10';els.horizon.value='3';els.fee.value='0.01';draw();console.log(JSON.stringify([chosen(),paths(chosen()),evidence(),curves(),els.tiles.textContent,(els.path.innerHTML+els.curve.innerHTML).split('<polyline').length-1,els.evidence.innerHTML.split('class=\"ci\"').length-1,els.metrics.textContent]))"
+    (tmp_path / "r.js").write_text(PAGE + page.split("<script>")[1].split("</script>")[0] + ask)
+    obs, path = result.observations.filter("label = 'ret_3d' and date >= '2024-01-10'").toPandas(), result.path_observations.filter("date >= '2024-01-10'").toPandas()
+    summary, days = result.summary.toPandas(), result.backtests.filter("horizon = 3 and fee_rate = 0.01").orderBy("t").toPandas()
+    for mode in config.control_modes:
+        got = json.loads(subprocess.run(["node", str(tmp_path / "r.js"), mode], capture_output=True, text=True, check=True, timeout=60).stdout)
+        rows, at, proof, curve, tiles, lines, intervals, metrics = got
+        want = obs[obs["mode"] == mode]
+        assert len(rows) == len(want) == 6 and tiles == f"6 observations, mean {100 * want.event_value.mean():.2f}%, excess {100 * want.excess_mean.mean():.2f}%"
+        by = path.groupby("offset").value
+        assert [x["offset"] for x in at] == [-1, 0, 1, 2] and {x["n"] for x in at} == {6}
+        for k, v in {"mean": by.mean(), "median": by.median(), "p25": by.quantile(0.25), "p75": by.quantile(0.75), "control_mean": path.groupby("offset").control_mean.mean()}.items():
+            assert np.allclose([x[k] for x in at], v)
+        s = summary[summary["mode"] == mode].sort_values("horizon")
+        assert [x["horizon"] for x in proof] == [1, 3] and intervals == 2 and lines == 8
+        for k in ("signal_edge", "signal_ci_low", "signal_ci_high"):
+            assert np.allclose([x[k] for x in proof], s[k])
+        assert len(curve) == 40 and metrics.startswith("annualized ")
+        for k in ("strategy_cumulative", "benchmark_cumulative", "excess_cumulative"):
+            assert np.allclose([x[k] for x in curve], days[k])
+
+
 def test_stream_purge(spark, tmp_path):
     from signalstudy.streaming import purge_stream
 
