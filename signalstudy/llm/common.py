@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One run of white space, as every operator here understands it (Java and Python syntax alike).
@@ -55,19 +55,26 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def drop_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """df without the rows whose id is in ids (one column, _id). Null ids stay.
+def drop_ids(df: DataFrame, id_col: str, ids: DataFrame, digest: Column | None = None) -> DataFrame:
+    """df without the rows whose id is in ids (one column, _id), or whose id and digest of the text are (columns _id and
+    _digest). Null ids stay.
 
     A bitmap of hashed ids, 16 bits an id and 16 MB at most, is broadcast: rows without their bit stay where they are,
     and only the others, mostly rows to drop, are shuffled for the exact join.
     """
     bits = min(max(20, (16 * max(ids.count(), 1) - 1).bit_length()), 27)
-    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    place = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 64 - bits)
+    id_, more = F.col(f"`{id_col}`"), [] if digest is None else ["_digest"]
     at, bit = F.col("_place"), F.col("_place") % 32768
-    bitmap = ids.select(place(F.col("_id").cast("long")).alias("_place")).groupBy((F.floor(at / 32768)).alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
-    marked = df.withColumn("_place", place(F.col(f"`{id_col}`").cast("long"))).withColumn("_bucket", F.floor(at / 32768)).join(F.broadcast(bitmap.limit(1 << (bits - 15))), "_bucket", "left")
+    bitmap = ids.select(place(F.col("_id").cast("long"), *more).alias("_place")).groupBy((F.floor(at / 32768)).alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    held = df if digest is None else df.withColumn("_digest", digest)
+    marked = held.withColumn("_place", place(id_.cast("long"), *more)).withColumn("_bucket", F.floor(at / 32768)).join(F.broadcast(bitmap.limit(1 << (bits - 15))), "_bucket", "left")
     byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2.0), bit % 8).cast("int")) != 0, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2.0), bit % 8).cast("int")) != 0, F.lit(False)) & id_.isNotNull()
     names = [F.col(f"`{c}`") for c in df.columns]
-    sure, unsure = marked.filter(~hit).select(*names), marked.filter(hit).select(*names)
-    return sure.unionByName(unsure.join(ids, F.col(f"`{id_col}`") == F.col("_id"), "left_anti"))
+    sure, unsure = marked.filter(~hit).select(*names), marked.filter(hit).select(*names, *more)
+    same = id_ == F.col("_id")
+    if digest is not None:
+        ids = ids.withColumnRenamed("_digest", "_gone")
+        same &= F.col("_digest") == F.col("_gone")
+    return sure.unionByName(unsure.join(ids, same, "left_anti").select(*names))

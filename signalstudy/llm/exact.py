@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_ids, norm_ws
@@ -46,15 +46,18 @@ def misra_gries(df: DataFrame, col: str, k: int = COUNTERS) -> list:
     return [r.value for r in merged.orderBy(F.desc("n"), "value").limit(k).collect() if r.n > 1]
 
 
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(norm_ws(F.col(f"`{text_col}`")).cast("binary"), 256))
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
     """One row per row of df: id, keep_id, group_size long, kept boolean, text_sha256 string.
 
     Texts are equal when equal after each run of white space becomes one space (null counts as empty, and empty
     texts are equal to one another). The smallest id of a group stays; null ids lose against any other id, and a
-    group of null ids keeps them all. Rows that repeat an id stay or go together. Other columns are ignored.
+    group of null ids keeps them all. Rows that repeat an id and text stay or go together. Other columns are ignored.
     """
-    digest = F.unhex(F.sha2(norm_ws(F.col(f"`{text_col}`")).cast("binary"), 256))
-    rows = cut(df.select(F.col(f"`{id_col}`").alias("id"), digest.alias("digest")), "exact-digests")
+    rows = cut(df.select(F.col(f"`{id_col}`").alias("id"), text_digest(text_col).alias("digest")), "exact-digests")
     spark = df.sparkSession
     heavy = spark.createDataFrame([(bytearray(v),) for v in misra_gries(rows, "digest", k)], "digest binary")
     winners = rows.join(F.broadcast(heavy), "digest").groupBy("digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -66,9 +69,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """df without the rows whose text another row with a smaller id has. Rows that repeat both id and text are one row."""
-    groups = cut(exact_groups(df, id_col, text_col, k).select(F.col(id_col).alias("_id"), "kept"), "exact-kept")
-    left = drop_ids(df, id_col, cut(groups.filter("not kept and _id is not null").select("_id").distinct(), "exact-dropped"))
+    """df without the rows whose text another row with a smaller id has; of an id with several texts, only those rows. Rows that repeat both id and text are one row."""
+    groups = cut(exact_groups(df, id_col, text_col, k).select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"), "kept"), "exact-kept")
+    # an id goes as a whole unless another of its rows stays: only then are rows told apart by their text
+    apart = F.bool_or(~F.col("kept")) & F.bool_or("kept")
+    if groups.filter("_id is not null").groupBy("_id").agg(apart.alias("apart")).filter("apart").take(1):
+        left = drop_ids(df, id_col, cut(groups.filter("not kept and _id is not null").select("_id", "_digest").distinct(), "exact-dropped"), text_digest(text_col))
+    else:
+        left = drop_ids(df, id_col, cut(groups.filter("not kept and _id is not null").select("_id").distinct(), "exact-dropped"))
     again = groups.filter("kept and _id is not null").groupBy("_id").count().filter("count > 1")
     if not again.take(1):
         return left

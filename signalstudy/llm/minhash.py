@@ -17,10 +17,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_ids, give_back, small_batches
+from .common import WS, cut, drop_ids, give_back, small_batches
+from .quotes import LOWER, UPPER
 
 SHINGLE = 5
 BANDS, ROWS = 28, 5
@@ -122,6 +123,12 @@ def _runs(column: pa.Array):
         yield start, run
 
 
+def word_digest(text_col: str) -> Column:
+    """The digest that sketch gives a text's word sequence, as an expression."""
+    words = F.trim(F.regexp_replace(F.translate(F.col(f"`{text_col}`"), UPPER, LOWER), WS, " "))
+    return F.substring(F.unhex(F.sha2(words.cast("binary"), 256)), 1, 16)
+
+
 def sketch(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (set size), words (digest of the word sequence, null without words), sig binary and keys array<long>."""
 
@@ -133,7 +140,7 @@ def sketch(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig = np.stack([signature(s) for s in sets])
                 keys = band_keys(sig)
                 some = np.asarray([len(s) > 0 for s in sets])
-                digests = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if ok else None for t, ok in zip(texts, some)]
+                digests = [hashlib.sha256(b" ".join(t.split())).digest()[:16] if ok else None for t, ok in zip(texts, some)]
                 offsets = np.r_[0, np.cumsum(np.where(some, BANDS, 0))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
@@ -173,17 +180,18 @@ def with_bit(rows: DataFrame, bitmap: bytes) -> DataFrame:
     return rows.withColumn("_place", F.shiftrightunsigned(F.xxhash64("id"), shift)).mapInArrow(run, kind)
 
 
-def shingles_of(documents: DataFrame, id_col: str, text_col: str, bitmap: bytes) -> DataFrame:
-    """id and set (packed hashes) of the documents whose id may be in the bitmap."""
+def shingles_of(documents: DataFrame, id_col: str, text_col: str, bitmap: bytes, words: bool = False) -> DataFrame:
+    """id, set (packed hashes) and, if asked for, digest of the word sequence of the documents whose id may be in the bitmap."""
     texts = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null")
 
     def run(batches):
         for b in batches:
             for at, some in _runs(b.column("text")):
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(some)), pa.array([s.tobytes() for s in shingle_sets(some)], pa.binary())], names=["id", "s"])
+                digests = [pa.array([hashlib.sha256(b" ".join(t.split())).digest()[:16] for t in some], pa.binary())] if words else []
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(some)), pa.array([s.tobytes() for s in shingle_sets(some)], pa.binary()), *digests], names=["id", "s", "words"][: 2 + words])
         give_back()
 
-    return with_bit(texts, bitmap).mapInArrow(run, "id long, s binary")
+    return with_bit(texts, bitmap).mapInArrow(run, "id long, s binary" + ", words binary" * words)
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -245,16 +253,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """One row per row: id, n_shingles long, component_id (smallest id reachable), kept boolean.
+def numbered(rows: DataFrame) -> DataFrame | None:
+    """id, words, node: a number for each text of each id, in their order. None if no id has two texts: ids are the nodes."""
+    again = rows.filter("id is not null").groupBy("id").count().filter("count > 1").select("id")
+    if not again.take(1):
+        return None
+    several = (F.min("words") < F.max("words")) | F.count("words").between(1, F.count("*") - 1)
+    if not rows.join(again, "id").groupBy("id").agg(several.alias("several")).filter("several").take(1):
+        return None
+    return cut(rows.filter("words is not null and id is not null").select("id", "words").distinct().orderBy("id", "words").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
-    Two documents are linked when 100 * intersection >= percent * union of their sets of five-word shingles (A-Z in
-    lower case; fewer words: the whole sequence). At similarity 0.8 a pair escapes all bands with probability 1.4e-5,
-    at 0.85 with 7e-8. Documents without words, or with a null id, are linked with nothing; a null id keeps its row and
-    has no component. Rows that repeat an id are one document, and of differing texts one is compared.
-    """
+
+def linked_rows(documents: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """One row per row: id, n, words, node and comp (the smallest node reachable; both null without words or id), and what
+    numbered() gives. Each text of an id is a node of its own."""
     sketches = cut(sketch(documents, id_col, text_col), "near-sketches")
     valid = sketches.filter("words is not null and id is not null")
+    nodes = numbered(sketches)
+    if nodes is not None:
+        valid = cut(valid.join(nodes, ["id", "words"]).select(F.col("node").alias("id"), "n", "words", "sig", "keys"), "near-sketches")
     # equal word sequences: their least id stands for them
     least = valid.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("words", "rep")
     copies = cut(valid.select("id", "words").join(least, "words").filter("id <> rep").select("id", "rep").distinct(), "near-copies")
@@ -304,19 +321,46 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             give_back()
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    sets = shingles_of(documents, id_col, text_col, id_bitmap(clusters.select("id"), clusters.count()))
+    if nodes is None:
+        sets = shingles_of(documents, id_col, text_col, id_bitmap(clusters.select("id"), clusters.count()))
+    else:
+        members = nodes.join(clusters.select(F.col("id").alias("node")), "node")
+        sets = shingles_of(documents, id_col, text_col, id_bitmap(members.select("id"), clusters.count()), True).join(members, ["id", "words"]).select(F.col("node").alias("id"), "s")
     placed = in_tasks(clusters.join(sets, "id"), "g", "size")
     comps = components(placed.groupBy("t", "i", "j").applyInPandas(links, "a long, b long"))
 
     # a copy's component is that of the document that stands for it
     node = copies.select(F.col("id").alias("node"), "rep").join(comps, F.col("rep") == F.col("id"), "left").select("node", F.coalesce("comp", "rep").alias("comp"))
     node = node.unionByName(comps.select(F.col("id").alias("node"), "comp")).groupBy("node").agg(F.min("comp").alias("comp"))
-    comp = F.coalesce("comp", "id")
-    out = sketches.select("id", "n").join(node, F.col("id") == F.col("node"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    out = sketches.select("id", "n", "words")
+    out = out.withColumn("at", F.when(F.col("words").isNotNull(), F.col("id"))) if nodes is None else out.join(nodes.withColumnRenamed("node", "at"), ["id", "words"], "left")
+    return out.join(node, F.col("at") == F.col("node"), "left").select("id", "n", "words", F.col("at").alias("node"), F.coalesce("comp", "at").alias("comp")), nodes
+
+
+def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """One row per row: id, n_shingles long, component_id (smallest id reachable), kept boolean.
+
+    Two documents are linked when 100 * intersection >= percent * union of their sets of five-word shingles (A-Z in
+    lower case; fewer words: the whole sequence). At similarity 0.8 a pair escapes all bands with probability 1.4e-5,
+    at 0.85 with 7e-8. Documents without words, or with a null id, are linked with nothing; a null id keeps its row and
+    has no component. Rows that repeat an id are one document, linked with whatever one of its texts is linked with.
+    """
+    rows, nodes = linked_rows(documents, id_col, text_col, percent)
+    if nodes is None:
+        rows = rows.withColumn("component_id", F.coalesce("comp", "id"))
+    else:
+        rows = cut(rows.select("id", "n", "comp"), "near-rows")
+        edges = rows.join(nodes.select(F.col("node").alias("comp"), F.col("id").alias("b")), "comp").filter("id <> b").select(F.col("id").alias("a"), "b")
+        ids = components(edges).select(F.col("id").alias("a"), F.col("comp").alias("least"))
+        rows = rows.join(ids, F.col("id") == F.col("a"), "left").withColumn("component_id", F.coalesce("least", "id"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """documents with one of each group: the smallest id. Rows without words or with a null id stay."""
-    groups = near_groups(documents, id_col, text_col, percent).filter("not kept").select(F.col(id_col).alias("_id")).distinct()
-    return drop_ids(documents, id_col, cut(groups, "near-dropped"))
+    """documents with one of each group of linked texts: that of the smallest id, and of that id's texts in the group one.
+    An id's other texts stay. Rows without words or with a null id stay."""
+    rows, nodes = linked_rows(documents, id_col, text_col, percent)
+    gone = rows.filter("node <> comp").select(F.col("id").alias("_id"), F.col("words").alias("_digest")).distinct()
+    if nodes is None:
+        return drop_ids(documents, id_col, cut(gone.select("_id"), "near-dropped"))
+    return drop_ids(documents, id_col, cut(gone, "near-dropped"), word_digest(text_col))

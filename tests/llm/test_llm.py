@@ -107,6 +107,20 @@ def test_near(spark, odd, none):
     assert {4, 5, 6} & {r.doc_id for r in minhash.near_dedup(odd).collect()} == {4}
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, ""), (7, b + " x"), (8, "A0 " + a[3:].replace(" ", "\n")), (9, c), (9, c + " x"), (10, c + " y"), (11, None), (5, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
+    assert plain(exact.exact_dedup(df)) == sorted([(1, a), (5, b), (5, ""), (7, b + " x"), rows[5], (9, c), (9, c + " x"), (10, c + " y")], key=str)
+    got = minhash.near_groups(df).collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.component_id, r.kept) for r in got} == {1: (1, True), 5: (1, False), 7: (1, False), 8: (1, False), 9: (9, True), 10: (9, False), 11: (11, True)}
+    assert all(len({r.component_id for r in got if r.doc_id == i}) == 1 for i in (5, 9))
+    kept = plain(minhash.near_dedup(df))
+    first = [r for r in kept if r[0] == 9]
+    assert len(first) == 1 and first[0][1] in (c, c + " x") and [r for r in kept if r[0] != 9] == sorted([(1, a), (5, ""), (5, b), (5, b), (11, None)], key=str)
+
+
 def test_block_pairs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 8)
     rows = [(k, f"{BASE} v{k}") for k in range(50)]
