@@ -57,7 +57,7 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 def drop_ids(df: DataFrame, id_col: str, ids: DataFrame, digest: Column | None = None) -> DataFrame:
     """df without the rows whose id is in ids (one column, _id), or whose id and digest of the text are (columns _id and
-    _digest). Null ids stay.
+    _digest). Null ids stay in the first case and are ids like any other in the second.
 
     A bitmap of hashed ids, 16 bits an id and 16 MB at most, is broadcast: rows without their bit stay where they are,
     and only the others, mostly rows to drop, are shuffled for the exact join.
@@ -70,11 +70,12 @@ def drop_ids(df: DataFrame, id_col: str, ids: DataFrame, digest: Column | None =
     held = df if digest is None else df.withColumn("_digest", digest)
     marked = held.withColumn("_place", place(id_.cast("long"), *more)).withColumn("_bucket", F.floor(at / 32768)).join(F.broadcast(bitmap.limit(1 << (bits - 15))), "_bucket", "left")
     byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2.0), bit % 8).cast("int")) != 0, F.lit(False)) & id_.isNotNull()
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2.0), bit % 8).cast("int")) != 0, F.lit(False))
+    hit = hit & id_.isNotNull() if digest is None else hit
     names = [F.col(f"`{c}`") for c in df.columns]
     sure, unsure = marked.filter(~hit).select(*names), marked.filter(hit).select(*names, *more)
     same = id_ == F.col("_id")
     if digest is not None:
         ids = ids.withColumnRenamed("_digest", "_gone")
-        same &= F.col("_digest") == F.col("_gone")
+        same = id_.eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone"))
     return sure.unionByName(unsure.join(ids, same, "left_anti").select(*names))

@@ -69,14 +69,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """df without the rows whose text another row with a smaller id has; of an id with several texts, only those rows. Rows that repeat both id and text are one row."""
+    """df without the rows whose text another row with a smaller id has; of an id with several texts, only those rows. Rows
+    with a null id go where any id has their text and else stay, all of them. Rows that repeat both id and text are one row."""
     groups = cut(exact_groups(df, id_col, text_col, k).select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"), "kept"), "exact-kept")
-    # an id goes as a whole unless another of its rows stays: only then are rows told apart by their text
-    apart = F.bool_or(~F.col("kept")) & F.bool_or("kept")
-    if groups.filter("_id is not null").groupBy("_id").agg(apart.alias("apart")).filter("apart").take(1):
-        left = drop_ids(df, id_col, cut(groups.filter("not kept and _id is not null").select("_id", "_digest").distinct(), "exact-dropped"), text_digest(text_col))
+    # an id goes as a whole unless another of its rows stays or it is null: only then are rows told apart by their text
+    apart = F.bool_or(~F.col("kept")) & (F.bool_or("kept") | F.col("_id").isNull())
+    if groups.groupBy("_id").agg(apart.alias("apart")).filter("apart").take(1):
+        left = drop_ids(df, id_col, cut(groups.filter("not kept").select("_id", "_digest").distinct(), "exact-dropped"), text_digest(text_col))
     else:
-        left = drop_ids(df, id_col, cut(groups.filter("not kept and _id is not null").select("_id").distinct(), "exact-dropped"))
+        left = drop_ids(df, id_col, cut(groups.filter("not kept").select("_id").distinct(), "exact-dropped"))
     again = groups.filter("kept and _id is not null").groupBy("_id").count().filter("count > 1")
     if not again.take(1):
         return left

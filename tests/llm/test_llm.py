@@ -64,6 +64,12 @@ def test_exact(spark, odd, none):
     assert exact.exact_groups(many, k=8).filter("group_size = 1667 and keep_id = 0").count() == 1667
 
 
+def test_exact_null_ids(spark):
+    rows = [(None, "a  b"), (4, "a b"), (None, "a b"), (2, "a b"), (None, "alone"), (None, "alone"), (None, None), (None, "x"), (6, "x"), (0, "y")]
+    left = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(2, "a b"), (None, "alone"), (None, "alone"), (None, None), (6, "x"), (0, "y")], key=str)
+
+
 def test_drop_ids(spark):
     rows = spark.range(3000).selectExpr("if(id % 10 = 9, null, id) as k", "'x' as _place")
     left = drop_ids(rows, "k", spark.range(0, 3000, 7).withColumnRenamed("id", "_id"))
