@@ -2,17 +2,17 @@
 
 A Misra-Gries summary finds the digests that many rows share. Their counts and winners are then verified by a
 map-side aggregate and broadcast (at most k rows), so their rows never shuffle; all other digests, none of
-which is frequent, go through one ordinary shuffle.
+which is frequent, are aggregated and joined back by ordinary shuffles.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_ids, norm_ws
+from .common import by_bitmap, col, cut, drop_rows, norm_ws, unwrapped, wrapped
 
 #: Counters of a summary: bounds the broadcast, and digests of over 2/k of all rows are sure to be found.
 COUNTERS = 1024
@@ -26,8 +26,8 @@ def _prune(counts: dict, k: int) -> dict:
     return {v: c - off for v, c in counts.items() if c > off}
 
 
-def misra_gries(df: DataFrame, col: str, k: int = COUNTERS) -> list:
-    """At most k values of col, with every value that more than 2/k of the rows hold among them. Nulls do not count."""
+def misra_gries(df: DataFrame, name: str, k: int = COUNTERS) -> list:
+    """At most k values of the column name, with every value that more than 2/k of the rows hold among them. Nulls do not count."""
 
     def part(batches):
         counts: dict = {}
@@ -41,13 +41,13 @@ def misra_gries(df: DataFrame, col: str, k: int = COUNTERS) -> list:
         counts.pop(None, None)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), kind), pa.array(list(counts.values()), pa.int64())], names=["value", "n"])
 
-    kind = pa.binary() if df.schema[col].dataType.simpleString() == "binary" else pa.string()
-    merged = df.select(col).mapInArrow(part, f"value {df.schema[col].dataType.simpleString()}, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    kind = pa.binary() if df.schema[name].dataType.simpleString() == "binary" else pa.string()
+    merged = df.select(col(name)).mapInArrow(part, f"value {df.schema[name].dataType.simpleString()}, n long").groupBy("value").agg(F.sum("n").alias("n"))
     return [r.value for r in merged.orderBy(F.desc("n"), "value").limit(k).collect() if r.n > 1]
 
 
 def text_digest(text_col: str) -> Column:
-    return F.unhex(F.sha2(norm_ws(F.col(f"`{text_col}`")).cast("binary"), 256))
+    return F.unhex(F.sha2(norm_ws(col(text_col)).cast("binary"), 256))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
@@ -55,30 +55,44 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when equal after each run of white space becomes one space (null counts as empty, and empty
     texts are equal to one another). The smallest id of a group stays; null ids lose against any other id, and a
-    group of null ids keeps them all. Rows that repeat an id and text stay or go together. Other columns are ignored.
+    group of null ids keeps them all. Each row is decided by its own id and text; rows equal in both stay or go
+    together. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
-    rows = cut(df.select(F.col(f"`{id_col}`").alias("id"), text_digest(text_col).alias("digest")), "exact-digests")
+    rows = cut(df.select(col(id_col).alias("id"), text_digest(text_col).alias("digest")), "exact-digests")
     spark = df.sparkSession
     heavy = spark.createDataFrame([(bytearray(v),) for v in misra_gries(rows, "digest", k)], "digest binary")
-    winners = rows.join(F.broadcast(heavy), "digest").groupBy("digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    winners = F.broadcast(cut(winners.limit(k), "exact-winners"))
-    w = Window.partitionBy("digest")
+    verified = [F.min("id").alias("keep_id"), F.count("*").alias("group_size")]
+    winners = F.broadcast(cut(rows.join(F.broadcast(heavy), "digest").groupBy("digest").agg(*verified).limit(k), "exact-winners"))
     many = rows.join(winners, "digest")
-    few = rows.join(F.broadcast(heavy), "digest", "left_anti").select("digest", "id", F.min("id").over(w).alias("keep_id"), F.count("*").over(w).alias("group_size"))
-    return many.select(*few.columns).unionByName(few).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    # the rest by an aggregate combined on the map side and a join back, whose left side may be split where it is skewed
+    rare = rows.join(F.broadcast(heavy), "digest", "left_anti")
+    shared = cut(rare.groupBy("digest").agg(*verified).filter("group_size > 1"), "exact-shared")
+    few = rare.join(shared, "digest", "left")
+    few = few.select("digest", "id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    out = many.select(*few.columns).unionByName(few)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """df without the rows whose text another row with a smaller id has; of an id with several texts, only those rows. Rows
-    with a null id go where any id has their text and else stay, all of them. Rows that repeat both id and text are one row."""
-    groups = cut(exact_groups(df, id_col, text_col, k).select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"), "kept"), "exact-kept")
+    """df without the rows whose text another row with a smaller id has, decided row by row: an id's other texts stay.
+
+    Rows with a null id go where any id has their text and else stay, all of them. Of rows equal in id and text (white
+    space aside) one stays, that of the least raw text. Null texts are empty ones. df may have columns of any name.
+    """
+    groups = exact_groups(df.select(col(id_col).alias("id"), col(text_col).alias("text")), "id", "text", k)
+    groups = cut(groups.select("id", F.unhex("text_sha256").alias("digest"), "kept"), "exact-kept")
+    key = {"id": col(id_col), "digest": text_digest(text_col)}
     # an id goes as a whole unless another of its rows stays or it is null: only then are rows told apart by their text
-    apart = F.bool_or(~F.col("kept")) & (F.bool_or("kept") | F.col("_id").isNull())
-    if groups.groupBy("_id").agg(apart.alias("apart")).filter("apart").take(1):
-        left = drop_ids(df, id_col, cut(groups.filter("not kept").select("_id", "_digest").distinct(), "exact-dropped"), text_digest(text_col))
-    else:
-        left = drop_ids(df, id_col, cut(groups.filter("not kept").select("_id").distinct(), "exact-dropped"))
-    again = groups.filter("kept and _id is not null").groupBy("_id").count().filter("count > 1")
+    apart = F.bool_or(~F.col("kept")) & (F.bool_or("kept") | F.col("id").isNull())
+    if not groups.groupBy("id").agg(apart.alias("apart")).filter("apart").take(1):
+        key.pop("digest")
+    left = drop_rows(df, key, cut(groups.filter("not kept").select(*key).distinct(), "exact-dropped"))
+    again = groups.filter("kept and id is not null").groupBy("id", "digest").count().filter("count > 1").select("id", "digest")
     if not again.take(1):
         return left
-    return left.join(again, F.col(f"`{id_col}`") == F.col("_id"), "left_anti").unionByName(left.join(again, F.col(f"`{id_col}`") == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col]))
+    again = cut(again, "exact-repeated")
+    key = {"id": col(id_col), "digest": text_digest(text_col)}
+    plain = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    sure, unsure = by_bitmap(wrapped(left, **key, least=F.struct(col(text_col), F.xxhash64(*plain))), list(key), again)
+    once = unsure.join(again, list(key), "left_semi").groupBy(*key).agg(F.min_by("row", "least").alias("row"))
+    return unwrapped(sure.select("row").unionByName(unsure.join(again, list(key), "left_anti").select("row")).unionByName(once.select("row")))

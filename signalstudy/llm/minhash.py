@@ -5,13 +5,18 @@ permutations give all coordinates of a signature. Documents that agree in a whol
 becomes a link only after its full shingle sets have been compared.
 
 Equal word sequences are one node. Within a bucket, signatures tell which pairs can reach the similarity; a spanning
-forest of those gives clusters, in which all pairs are compared on their full sets, block by block, by products of
-incidence matrices. Rows between steps are members and forest edges, never all pairs of a group.
+forest of those gives clusters, in which pairs are compared on their full sets by products of incidence matrices. A
+large group is compared inside blocks, then by representatives of what was found linked; only members that are still
+apart from the rest meet all others. Rows between steps are members and forest edges, never all pairs of a group.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Callable
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -20,17 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, cut, drop_ids, give_back, small_batches
+from .common import WS, col, cut, drop_rows, give_back, join_shared, small_batches
 from .quotes import LOWER, UPPER
 
 SHINGLE = 5
 BANDS, ROWS = 28, 5
 COORDINATES = BANDS * ROWS
 CHUNK_BYTES = 1 << 18
-#: Members of a group that one task compares with as many others.
-BLOCK_MEMBERS = 1024
-#: Tasks that the smaller groups share.
-TASKS = 4096
+#: Members of a group, and their bytes, that one task compares with as many others.
+BLOCK_MEMBERS, BLOCK_BYTES = 1024, 1 << 24
+#: Bytes of smaller groups that share a task, and the least number of such tasks.
+TASK_BYTES, LEAST_TASKS = 1 << 22, 256
 #: Buckets of so many members are told apart by their members alone.
 FEW = 32
 
@@ -56,17 +61,57 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of each text's word shingles; texts in lower case already. A text of fewer words
-    has its whole sequence as one shingle, a text without words none."""
-    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _pieces(text: bytes) -> list[bytes]:
+    """A text in pieces of bounded length, cut at white space. A word of more than CHUNK_BYTES is given as its digest."""
+    at, out = 0, []
+    while len(text) - at > CHUNK_BYTES:
+        probe = at + CHUNK_BYTES
+        after = _SPACES.search(text, probe)
+        end = after.start() if after else len(text)
+        begin = max([at, *(text.rfind(c, at, probe) + 1 for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))])
+        if end - begin > CHUNK_BYTES:
+            out += [text[at:begin], b"\xff" + hashlib.sha256(text[begin:end]).digest().hex().encode()]
+        else:
+            out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def _word_hashes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all pieces' words, and the number of words of each piece."""
+    data = np.frombuffer(b"\n".join([b"", *pieces, b""]), np.uint8)
     space = _SPACE[data]
     starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
     ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
     power, inverse = _power_tables(len(data) + 1)
     upto = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)]
     words = _mix((upto[ends] - upto[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    first = np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts]))
+    return words, np.diff(np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in pieces])))
+
+
+def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's word shingles; texts in lower case already. A text of fewer words
+    has its whole sequence as one shingle, a text without words none. Texts of any length are hashed in pieces."""
+    found, counts, run, owner, size = [], np.zeros(len(texts), np.int64), [], [], 0
+    for k, t in enumerate(texts):
+        for piece in _pieces(t):
+            run.append(piece)
+            owner.append(k)
+            size += len(piece)
+            if size >= CHUNK_BYTES:
+                words, n = _word_hashes(run)
+                found.append(words)
+                np.add.at(counts, owner, n)
+                run, owner, size = [], [], 0
+    if run:
+        words, n = _word_hashes(run)
+        found.append(words)
+        np.add.at(counts, owner, n)
+    words = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    first = np.r_[0, np.cumsum(counts)]
     odd = [np.uint64(_BASE ** (2 * j + 1) % (1 << 64) | 1) for j in range(width)]
     many = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for j in range(width if len(many) else 0):
@@ -125,12 +170,19 @@ def _runs(column: pa.Array):
 
 def word_digest(text_col: str) -> Column:
     """The digest that sketch gives a text's word sequence, as an expression."""
-    words = F.trim(F.regexp_replace(F.translate(F.col(f"`{text_col}`"), UPPER, LOWER), WS, " "))
+    words = F.trim(F.regexp_replace(F.translate(col(text_col), UPPER, LOWER), WS, " "))
     return F.substring(F.unhex(F.sha2(words.cast("binary"), 256)), 1, 16)
 
 
-def sketch(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), words (digest of the word sequence, null without words), sig binary and keys array<long>."""
+def prefix_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The least hashes of a set: two sets of at least this similarity share one of theirs, without exception."""
+    n = len(shingles)
+    return shingles[: n - -(-percent * n // 100) + 1].astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def sketch(documents: DataFrame, id_col: str, text_col: str, exact: int | None = None) -> DataFrame:
+    """id, n (set size), words (digest of the word sequence, null without words), sig binary and keys array<long>: those of
+    the bands, or with exact (a percentage) prefix keys."""
 
     def run(batches):
         for b in batches:
@@ -138,18 +190,18 @@ def sketch(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at, texts in _runs(b.column("text")):
                 sets = shingle_sets(texts)
                 sig = np.stack([signature(s) for s in sets])
-                keys = band_keys(sig)
+                keys = [prefix_keys(x, exact) for x in sets] if exact else [k if len(x) else np.zeros(0, np.int64) for k, x in zip(band_keys(sig), sets)]
                 some = np.asarray([len(s) > 0 for s in sets])
                 digests = [hashlib.sha256(b" ".join(t.split())).digest()[:16] if ok else None for t, ok in zip(texts, some)]
-                offsets = np.r_[0, np.cumsum(np.where(some, BANDS, 0))].astype(np.int32)
+                offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
+                    [ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys), pa.int64()))],
                     names=["id", "n", "words", "sig", "keys"],
                 )
         give_back()
 
     small_batches(documents.sparkSession)
-    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = documents.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n long, words binary, sig binary, keys array<long>")
 
 
@@ -182,7 +234,7 @@ def with_bit(rows: DataFrame, bitmap: bytes) -> DataFrame:
 
 def shingles_of(documents: DataFrame, id_col: str, text_col: str, bitmap: bytes, words: bool = False) -> DataFrame:
     """id, set (packed hashes) and, if asked for, digest of the word sequence of the documents whose id may be in the bitmap."""
-    texts = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null")
+    texts = documents.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).filter("id is not null")
 
     def run(batches):
         for b in batches:
@@ -227,14 +279,53 @@ def common(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return out
 
 
-def in_tasks(members: DataFrame, group: str, size: str) -> DataFrame:
-    """Adds the task columns t, i, j: each pair of a group's members meets in some task. Groups of more than
-    BLOCK_MEMBERS are dealt into blocks, of which every two meet; small ones share tasks."""
-    blocks = F.ceil(F.col(size) / BLOCK_MEMBERS).cast("int")
-    m = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    shared = F.pmod(F.xxhash64(group), F.lit(TASKS))
-    return m.withColumn("t", F.when(F.col("blocks") > 1, F.col(group)).otherwise(shared)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "block", "other")
+def _dealt(members: DataFrame, name: str) -> DataFrame:
+    """members (g, id, cost) with size and bytes of their group, blocks (1 for one that a task can hold), and their block."""
+    sizes = cut(members.groupBy("g").agg(F.count("*").alias("size"), F.sum("cost").alias("bytes")), f"near-sizes-{name}")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    m = join_shared(members, sizes.withColumn("blocks", blocks), "g", "size")
+    return m.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def group_edges(members: DataFrame, payload: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], name: str) -> DataFrame:
+    """Edges (a, b) with the components that all pairs of each group, compared, would have.
+
+    members: g, id, cost (bytes). payload: id and what compare reads; compare takes whole groups or parts of one (g, id,
+    payload) and gives a spanning forest of each one's links. Small groups share tasks of bounded bytes. The members of a
+    large one are compared inside blocks, and one of each component of each block with those of other blocks. Then
+    those apart from the group's greatest component meet every member: pairs inside one component need no comparing.
+    """
+    kind, ids = "a long, b long", ["g", "id"]
+    dealt = cut(_dealt(members, name), f"near-dealt-{name}")
+    total = dealt.filter("blocks = 1").agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("n")).first().n
+    tasks = max(LEAST_TASKS, ceil(total / TASK_BYTES))
+    small = dealt.filter("blocks = 1").select(*ids).join(payload, "id").withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tasks)))
+    out = [cut(small.groupBy("t").applyInPandas(compare, kind), f"near-small-{name}")]
+    if not dealt.filter("blocks > 1").take(1):
+        return out[0]
+    held = cut(dealt.filter("blocks > 1").join(payload, "id"), f"near-large-{name}")
+    out.append(cut(held.groupBy("g", "block").applyInPandas(compare, kind), f"near-inside-{name}"))
+    found = lambda: reduce(DataFrame.unionByName, out)
+    places = held.select("g", "id", "cost", "block", "blocks")
+    # one of each component of each block
+    one = places.join(components(found()), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    reps = one.groupBy("g", "block", "comp").agg(F.min(F.struct("id", "cost")).alias("r")).select("g", "r.id", "r.cost").distinct()
+    reps = _dealt(cut(reps, f"near-reps-{name}"), f"reps-{name}").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    reps = reps.select("g", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    out.append(cut(reps.join(held.drop("block", "blocks", "size", "bytes", "cost"), ids).groupBy("g", "i", "j").applyInPandas(compare, kind), f"near-across-{name}"))
+    # those outside the group's greatest component meet all
+    two = cut(places.join(components(found()), "id", "left").withColumn("comp", F.coalesce("comp", "id")), f"near-places-{name}")
+    main = two.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "comp")).alias("m")).select("g", F.col("m.comp").alias("main"))
+    apart = two.join(main, "g").filter("comp <> main").select("g", "id", "cost", F.col("blocks").alias("all"))
+    if not apart.take(1):
+        return found()
+    apart = cut(apart, f"near-apart-{name}")
+    rows = _dealt(apart, f"apart-{name}").select("g", "id", F.col("block").alias("i"), "blocks", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"))
+    wide = rows.groupBy("g").agg(F.max("blocks").alias("apart"))
+    others = two.join(wide, "g").select("g", "id", F.explode(F.sequence(F.lit(0), F.col("apart") - 1)).alias("i"), F.col("block").alias("j"))
+    meet = rows.select("g", "id", "i", "j").unionByName(others).distinct()
+    out.append(cut(meet.join(held.drop("block", "blocks", "size", "bytes", "cost"), ids).groupBy("g", "i", "j").applyInPandas(compare, kind), f"near-apart-{name}"))
+    return found()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,33 +355,31 @@ def numbered(rows: DataFrame) -> DataFrame | None:
     return cut(rows.filter("words is not null and id is not null").select("id", "words").distinct().orderBy("id", "words").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
 
-def linked_rows(documents: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def linked_rows(documents: DataFrame, id_col: str, text_col: str, percent: int, exact: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """One row per row: id, n, words, node and comp (the smallest node reachable; both null without words or id), and what
     numbered() gives. Each text of an id is a node of its own."""
-    sketches = cut(sketch(documents, id_col, text_col), "near-sketches")
+    sketches = cut(sketch(documents, id_col, text_col, percent if exact else None), "near-sketches")
     valid = sketches.filter("words is not null and id is not null")
     nodes = numbered(sketches)
     if nodes is not None:
         valid = cut(valid.join(nodes, ["id", "words"]).select(F.col("node").alias("id"), "n", "words", "sig", "keys"), "near-sketches")
     # equal word sequences: their least id stands for them
-    least = valid.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("words", "rep")
-    copies = cut(valid.select("id", "words").join(least, "words").filter("id <> rep").select("id", "rep").distinct(), "near-copies")
+    least = cut(valid.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1"), "near-shared")
+    copies = cut(join_shared(valid.select("id", "words"), least, "words", "rows").filter("id <> rep").select("id", "rep").distinct(), "near-copies")
 
     keyed = valid.select("id", F.explode("keys").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = keyed.join(full, "key").join(copies.select("id"), "id", "left_anti").distinct()
     buckets = cut(buckets, "near-buckets")
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = buckets.join(sizes, "key")
-    # the same few members meet in many bands: once is enough
+    sizes = cut(buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "near-bucket-sizes")
+    buckets = join_shared(buckets, sizes, "key", "size")
+    # the same few members meet in many buckets: once is enough
     few = buckets.filter(F.col("size") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    few = few.select(F.xxhash64("ids").alias("g"), F.size("ids").cast("long").alias("size"), F.explode("ids").alias("id"))
-    groups = cut(few.unionByName(buckets.filter(F.col("size") > FEW).select(F.col("key").alias("g"), "size", "id")), "near-groups")
+    few = few.select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id"))
+    groups = cut(few.unionByName(buckets.filter(F.col("size") > FEW).select(F.col("key").alias("g"), "id")).distinct(), "near-groups")
 
     # candidates: signatures of one bucket that allow the similarity. A spanning forest of them will do, since all pairs
     # of the clusters that it gives are compared on their full sets
-    ids = cut(groups.select("id").distinct(), "near-members")
-    sigs = with_bit(valid.select("id", "n", "sig"), id_bitmap(ids, ids.count())).dropDuplicates(["id"])
     s = percent / 100
     least_equal = COORDINATES * (s - 5 * np.sqrt(s * (1 - s) / COORDINATES))
 
@@ -304,10 +393,17 @@ def linked_rows(documents: DataFrame, id_col: str, text_col: str, percent: int)
             edges += [(ids_[a], ids_[b]) for a, b in forest(same)]
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    placed = in_tasks(groups.join(sigs, "id"), "g", "size")
-    near = placed.groupBy("t", "i", "j").applyInPandas(candidates, "a long, b long")
-    clusters = cut(components(near).withColumnRenamed("comp", "g"), "near-clusters")
-    clusters = cut(clusters.join(clusters.groupBy("g").agg(F.count("*").alias("size")), "g"), "near-clusters")
+    if exact:
+        clusters = groups
+    else:
+        ids = cut(groups.select("id").distinct(), "near-members")
+        sigs = with_bit(valid.select("id", "n", "sig"), id_bitmap(ids, ids.count())).dropDuplicates(["id"])
+        near = group_edges(groups.withColumn("cost", F.lit(64 + 4 * COORDINATES).cast("long")), sigs, candidates, "candidates")
+        clusters = cut(components(near).select(F.col("comp").alias("g"), "id"), "near-clusters")
+    ids = cut(clusters.select("id").distinct(), "near-members")
+    bitmap = id_bitmap(ids, ids.count())
+    costs = with_bit(valid.select("id", "n"), bitmap).dropDuplicates(["id"]).select("id", (64 + 8 * F.col("n")).alias("cost"))
+    clusters = cut(clusters.join(costs, "id"), "near-clusters")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = []
@@ -322,12 +418,12 @@ def linked_rows(documents: DataFrame, id_col: str, text_col: str, percent: int)
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
     if nodes is None:
-        sets = shingles_of(documents, id_col, text_col, id_bitmap(clusters.select("id"), clusters.count()))
+        sets = shingles_of(documents, id_col, text_col, bitmap).dropDuplicates(["id"])
     else:
-        members = nodes.join(clusters.select(F.col("id").alias("node")), "node")
-        sets = shingles_of(documents, id_col, text_col, id_bitmap(members.select("id"), clusters.count()), True).join(members, ["id", "words"]).select(F.col("node").alias("id"), "s")
-    placed = in_tasks(clusters.join(sets, "id"), "g", "size")
-    comps = components(placed.groupBy("t", "i", "j").applyInPandas(links, "a long, b long"))
+        members = nodes.join(ids.select(F.col("id").alias("node")), "node")
+        sets = shingles_of(documents, id_col, text_col, id_bitmap(members.select("id"), ids.count()), True).join(members, ["id", "words"])
+        sets = sets.select(F.col("node").alias("id"), "s").dropDuplicates(["id"])
+    comps = components(group_edges(clusters, sets, links, "links"))
 
     # a copy's component is that of the document that stands for it
     node = copies.select(F.col("id").alias("node"), "rep").join(comps, F.col("rep") == F.col("id"), "left").select("node", F.coalesce("comp", "rep").alias("comp"))
@@ -337,15 +433,20 @@ def linked_rows(documents: DataFrame, id_col: str, text_col: str, percent: int)
     return out.join(node, F.col("at") == F.col("node"), "left").select("id", "n", "words", F.col("at").alias("node"), F.coalesce("comp", "at").alias("comp")), nodes
 
 
-def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, exact: bool = False) -> DataFrame:
     """One row per row: id, n_shingles long, component_id (smallest id reachable), kept boolean.
 
     Two documents are linked when 100 * intersection >= percent * union of their sets of five-word shingles (A-Z in
     lower case; fewer words: the whole sequence). At similarity 0.8 a pair escapes all bands with probability 1.4e-5,
-    at 0.85 with 7e-8. Documents without words, or with a null id, are linked with nothing; a null id keeps its row and
-    has no component. Rows that repeat an id are one document, linked with whatever one of its texts is linked with.
+    at 0.85 with 7e-8, and the signatures' test one of five standard deviations. With exact no pair escapes: candidates
+    share one of the least hashes of their sets (percent of a set must be shared, so one of the rest of it plus one
+    is), which costs a row per hash where bands cost 28 a document.
+
+    Ids are integers. Documents without words, or with a null id, are linked with nothing; a null id keeps its row and
+    has no component. Rows that repeat an id are one document, linked with whatever one of its texts is linked with. An
+    empty table gives no rows; other columns are ignored.
     """
-    rows, nodes = linked_rows(documents, id_col, text_col, percent)
+    rows, nodes = linked_rows(documents, id_col, text_col, percent, exact)
     if nodes is None:
         rows = rows.withColumn("component_id", F.coalesce("comp", "id"))
     else:
@@ -356,11 +457,15 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, exact: bool = False) -> DataFrame:
     """documents with one of each group of linked texts: that of the smallest id, and of that id's texts in the group one.
-    An id's other texts stay. Rows without words or with a null id stay."""
-    rows, nodes = linked_rows(documents, id_col, text_col, percent)
-    gone = rows.filter("node <> comp").select(F.col("id").alias("_id"), F.col("words").alias("_digest")).distinct()
-    if nodes is None:
-        return drop_ids(documents, id_col, cut(gone.select("_id"), "near-dropped"))
-    return drop_ids(documents, id_col, cut(gone, "near-dropped"), word_digest(text_col))
+
+    Rows are decided by id and text: an id's other texts stay, rows equal in id and words stay or go together. Rows without
+    words (null texts too) or with a null id stay. Ids are integers. Columns are as in documents, whatever their names.
+    """
+    rows, nodes = linked_rows(documents, id_col, text_col, percent, exact)
+    gone = rows.filter("node <> comp")
+    key = {"id": col(id_col).cast("long")}
+    if nodes is not None:
+        key["words"] = word_digest(text_col)
+    return drop_rows(documents, key, cut(gone.select(*key).distinct(), "near-dropped"))

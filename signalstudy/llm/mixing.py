@@ -4,61 +4,65 @@ Every source has a weight schedule over training time 0 to 1, linear between kno
 share; targets are the shares of all words, held to max_epochs times the source. Running through a source's
 documents in hashed order, each document meets a cumulative demand, and inverting the source's integrated
 schedule at that demand gives the document's position in training. Documents are range-sorted by position.
+All of it is column expressions: no row visits Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 from math import ceil, log2
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import col, cut, ranked, unwrapped, wrapped
 
 Schedule = Sequence[tuple[float, float]]
 
 #: Schedules of sources in code point order, repeating; their integrals are 5, 2 and 1.
 CURRICULUM: tuple[Schedule, ...] = (((0.0, 7.0), (1.0, 3.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.0), (0.5, 1.0), (1.0, 2.0)))
 
+#: Rows of a source that one task puts in order, about.
+ORDERED_ROWS = 50_000
+
+
+def areas(schedule: Schedule) -> list[float]:
+    """The integral of the schedule up to each knot."""
+    return list(accumulate(((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:])), initial=0.0))
+
 
 def integral(schedule: Schedule) -> float:
-    return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:]))
+    return areas(schedule)[-1]
 
 
-def invert(schedule: Schedule, share: np.ndarray) -> np.ndarray:
-    """The times by which these shares (0 to 1) of the schedule's integral have passed."""
-    t, w = np.asarray(schedule, float).T
-    upto = np.r_[0.0, np.cumsum(np.diff(t) * (w[1:] + w[:-1]) / 2)]
-    want = np.clip(share, 0.0, 1.0) * upto[-1]
-    k = np.clip(np.searchsorted(upto, want, "right") - 1, 0, len(t) - 2)
-    rest, width = want - upto[k], t[k + 1] - t[k]
-    slope = (w[k + 1] - w[k]) / width
-    # w0 x + slope x^2 / 2 = rest, in the form that holds for a slope of 0 too
-    root = np.sqrt(np.maximum(w[k] ** 2 + 2 * slope * rest, 0.0))
-    return t[k] + np.clip(np.divide(2 * rest, w[k] + root, out=np.zeros_like(rest), where=(w[k] + root) > 0), 0, width)
+def invert(schedule: Schedule, share: Column) -> Column:
+    """The time by which this share (0 to 1) of the schedule's integral has passed."""
+    upto, out = areas(schedule), None
+    want = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * F.lit(upto[-1])
+    for k, ((t, w), (t_next, w_next)) in enumerate(zip(schedule, schedule[1:])):
+        rest, slope = want - F.lit(upto[k]), (w_next - w) / (t_next - t)
+        # w x + slope x^2 / 2 = rest, in the form that holds for a slope of 0 too
+        below = F.lit(w) + F.sqrt(F.greatest(F.lit(w * w) + F.lit(2 * slope) * rest, F.lit(0.0)))
+        x = F.least(F.greatest(F.when(below > 0, 2 * rest / below).otherwise(F.lit(0.0)), F.lit(0.0)), F.lit(t_next - t))
+        out = F.lit(t) + x if out is None else F.when(want >= F.lit(upto[k]), F.lit(t) + x).otherwise(out)
+    return out
 
 
-def _words(batches):
-    for b in batches:
-        # bytes.split() splits at exactly space and \\x09-\\x0D
-        sizes = [len(t.split()) if t is not None else 0 for t in pc.cast(b.column("text"), pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(sizes, pa.int64())], names=["id", "source", "size"])
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sources: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, max_epochs: float = 3.0) -> DataFrame:
-    """sources: source, source_size. Adds rank int, weight and target double.
+    """sources: source, source_size. Adds rank long, weight and target double.
 
-    Sources are ranked by code point, null last; rank k takes schedule k modulo their number. All words are shared
-    by weight; a target above max_epochs times its source stops there and the rest is reshared among the others.
-    One row per source: only sums come to the driver.
+    Sources are ranked by code point, null last, by a range sort; rank k takes schedule k modulo their number. All words
+    are shared by weight; a target above max_epochs times its source stops there and the rest is reshared among the
+    others. Only sums come to the driver.
     """
     weights = F.array(*[F.lit(float(integral(s))) for s in schedules])
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    s = cut(sources.withColumn("rank", rank).withColumn("weight", F.element_at(weights, (F.col("rank") % len(schedules) + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(max_epochs))), "mix-sources")
+    s = ranked(sources, [F.col("source").isNull(), F.col("source")], "mix-ranks")
+    s = cut(s.withColumn("weight", F.element_at(weights, (F.col("rank") % len(schedules) + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(max_epochs))), "mix-sources")
     total = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first().n
     rate, seen = 0.0, -1
     while True:
@@ -70,57 +74,61 @@ def targets(sources: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, max_
     return s.withColumn("target", F.least(F.col("weight") * F.lit(rate), F.col("most"))).drop("most")
 
 
-def curriculum(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules: Sequence[Schedule] = CURRICULUM, max_epochs: int = 3, seed: int = 17) -> DataFrame:
+def _plan(rows: DataFrame, count: int, kind: str, schedules: Sequence[Schedule], max_epochs: float, seed: int) -> DataFrame:
+    """rows (id, source, size, tie and more), with source_size, target, copies and positions."""
+    schedules = [tuple((float(t), float(w)) for t, w in s) for s in schedules]
+    bits = max(6, ceil(log2(max(count, 1) / ORDERED_ROWS)) if count else 6)
+    key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    rows = rows.withColumn("h", F.xxhash64("id", "tie", F.lit(seed))).withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
+    per = cut(rows.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")), f"mix-words-{kind}")
+    aims = targets(per.groupBy("source").agg(F.sum("words").alias("source_size")), schedules, max_epochs)
+    # words before a document in its source: those before it in its bucket, and those of the buckets before
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = per.withColumn("ahead", before).alias("a").join(aims.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source")))
+    ahead = ahead.select("key", "bucket", "ahead", "source_size", "target", "rank")
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("h", "id", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("inside", inside).join(ahead, ["key", "bucket"])
+    rows = rows.withColumn("at", F.col("inside") + F.col("ahead"))
+    turns = range(ceil(max_epochs))
+    middle = [F.col("at") + j * F.col("source_size") + F.col("size") / 2 for j in turns]
+    rows = rows.withColumn("copies", sum((F.when(m < F.col("target"), 1).otherwise(0) for m in middle), F.lit(0)).cast("int"))
+
+    def position(j: int) -> Column:
+        share = (F.col("at") + j * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
+        out = invert(schedules[0], share)
+        for k in range(1, len(schedules)):
+            out = F.when(F.col("rank") % len(schedules) == k, invert(schedules[k], share)).otherwise(out)
+        return F.when(F.col("copies") > j, out)
+
+    return rows.withColumn("positions", F.array_compact(F.array(*[position(j) for j in turns])))
+
+
+def curriculum(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules: Sequence[Schedule] = CURRICULUM, max_epochs: float = 3, seed: int = 17) -> DataFrame:
     """One row per row of df: id, source, size long (words; null text 0), source_size long, target double, copies int,
     taken long (size times copies) and positions array<double> (one training time per copy, none if not taken).
 
     A copy of a document is taken when the middle of its words lies below its source's target, so a source's taken
-    words miss the target by half a document at most. The order within a source is a hash of id and seed: reruns
-    agree. Null sources are one source. A source without words takes nothing. An empty table gives no rows.
+    words miss the target by half a document at most. The order within a source is a hash of id, text and seed: reruns
+    agree. Null sources are one source. A source without words takes nothing; a document without words in another
+    is taken like any other and costs nothing. Rows that repeat an id, null ids among them, are planned each for itself.
+    An empty table gives no rows; other columns of df are ignored.
     """
-    schedules = [tuple((float(t), float(w)) for t, w in s) for s in schedules]
-    small_batches(df.sparkSession)
-    kinds = [df.schema[c].dataType.simpleString() for c in (id_col, source_col)]
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_words, f"id {kinds[0]}, source {kinds[1]}, size long")
-    rows = cut(rows.withColumn("h", F.xxhash64("id", F.lit(seed))), "mix-sizes")
-    per = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-per-source")
-    aims = targets(per.select("source", "source_size"), schedules, max_epochs)
-    n = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    bits = max(6, ceil(log2(max(n, 1) / 50_000)) if n else 6)
-    rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
-    # words before a document in its source: those before it in its bucket, and those of the buckets before
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("ahead", before)
-    ahead = ahead.alias("a").join(aims.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source"))).select(F.col("a.source").alias("b_source"), F.col("bucket").alias("b_bucket"), "ahead", "source_size", "target", "rank")
-    rows = rows.withColumn("inside", inside).join(ahead, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    at = F.col("inside") + F.col("ahead")
-    copies = sum((F.when(at + j * F.col("source_size") + F.col("size") / 2 < F.col("target"), 1).otherwise(0) for j in range(int(max_epochs))), F.lit(0))
-    rows = rows.select("id", "source", "size", "source_size", "target", "rank", at.alias("at"), copies.cast("int").alias("copies"))
-
-    def place(batches):
-        for b in batches:
-            col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("size", "source_size", "target", "rank", "at", "copies")}
-            out = np.full((b.num_rows, int(max_epochs)), np.nan)
-            for k in np.unique(col["rank"] % len(schedules)):
-                rows_k = np.flatnonzero(col["rank"] % len(schedules) == k)
-                for j in range(int(max_epochs)):
-                    at_j = rows_k[col["copies"][rows_k] > j]
-                    out[at_j, j] = invert(schedules[k], (col["at"][at_j] + float(j) * col["source_size"][at_j]) / col["target"][at_j])
-            ends = np.r_[0, np.cumsum(col["copies"])].astype(np.int32)
-            flat = pa.array(out[np.arange(int(max_epochs)) < col["copies"][:, None]], pa.float64())
-            taken = pa.array(col["size"] * col["copies"].astype(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), b.column("size"), b.column("source_size"), b.column("target"), b.column("copies"), taken, pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "source", "size", "source_size", "target", "copies", "taken", "positions"])
-
-    out = rows.mapInArrow(place, f"id {kinds[0]}, source {kinds[1]}, size long, source_size long, target double, copies int, taken long, positions array<double>")
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("source", source_col)
-
-
-def mix(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """df as trained on: every document once per copy, range-sorted by training position. Columns as in df.
-
-    Rows that share an id (null included) share one plan.
+    text = col(text_col)
+    rows = df.select(col(id_col).alias("id"), col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"))
+    rows = cut(rows, "mix-sizes")
+    out = _plan(rows, rows.count(), "narrow", schedules, max_epochs, seed)
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", taken, "positions")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules: Sequence[Schedule] = CURRICULUM, max_epochs: float = 3, seed: int = 17) -> DataFrame:
+    """df as trained on: every row once per copy that curriculum() gives it, range-sorted by training position. Columns
+    as in df, whatever their names.
+
+    Rows travel with their texts, so no plan is joined back by id: rows that repeat an id keep each its own.
     """
-    plan = curriculum(df, id_col, **how).dropDuplicates([id_col]).filter("copies > 0")
-    plan = cut(plan.select(F.col(id_col).alias("_id"), F.explode("positions").alias("_position")), "mix-plan")
-    return df.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).orderBy("_position", "_id").select(*[F.col(f"`{c}`") for c in df.columns])
+    text = col(text_col)
+    rows = wrapped(df, id=col(id_col), source=col(source_col), size=word_count(text), tie=F.xxhash64(text))
+    out = _plan(rows, df.count(), "whole", schedules, max_epochs, seed)
+    out = out.filter("copies > 0").select("row", "id", "tie", F.explode("positions").alias("position"))
+    return unwrapped(out.orderBy("position", "id", "tie").select("row"))

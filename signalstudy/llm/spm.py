@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model's normaliser, pieces and byte fallback are compiled into one lexicon transducer; a text is composed with
-it lazily, and the path of least weight in the tropical semiring is its encoding. In a unigram model an arc weighs
-minus the piece's score. In a BPE model the weights are those of a context acceptor over neighbouring pieces: 0 where
-the merges of the two pieces' joined text give just these two pieces, infinite otherwise. A sequence is the result of
-the merges exactly if all its neighbours are such pairs, so the one path of finite weight is the encoding, and no state
-needs more than one predecessor. Runs of the space mark, where merges tie, are weighed by their merges directly.
+A model is compiled into three transducers, composed with each text lazily: the normaliser (its character map's rules,
+longest match first, and the treatment of spaces), the lexicon of pieces, and byte fallback, whose arcs spell a
+character without a piece and are added when such a character is met. The path of least weight in the tropical semiring
+is the text's encoding. In a unigram model an arc weighs minus the piece's score. In a BPE model the weights are those of a context
+acceptor over neighbouring pieces: 0 where the merges of the two pieces' joined text give just these two pieces, infinite
+otherwise. A sequence is the result of the merges exactly if all its neighbours are such pairs, so the one path of finite
+weight is the encoding, and no state needs more than one predecessor. Runs of the space mark, where merges tie, are weighed
+by their merges directly, by a heap in n log n steps.
 
 Text is cut where no piece can reach across: before a space mark that follows anything else, between a letter and a mark
 that follows a letter in no piece, and around characters that no longer piece holds. A bounded memory keeps the encodings of segments met before.
@@ -15,7 +17,9 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +67,73 @@ def _fields(raw: bytes):
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+class Normaliser:
+    """The normaliser's transducer: rules of a character map, protected user-defined symbols, and spaces.
+
+    The map is a little-endian size, a double-array trie of that many bytes, and the texts that its leaves point to.
+    """
+
+    def __init__(self, charsmap: bytes, dummy_prefix: bool, trim: bool, escape: bool, symbols: list[str]):
+        self.dummy_prefix, self.trim, self.space = dummy_prefix, trim, SPACE if escape else " "
+        self.symbols = re.compile("|".join(map(re.escape, sorted(symbols, key=len, reverse=True)))) if symbols else None
+        size = struct.unpack_from("<I", charsmap)[0] if charsmap else 0
+        self.units = np.frombuffer(charsmap, "<u4", size // 4, 4).tolist() if size else []
+        self.texts = charsmap[4 + size :]
+
+    def _rule(self, data: bytes, i: int) -> tuple[int, bytes] | None:
+        """End and output of the longest rule that matches at i."""
+        units, found = self.units, None
+        at = (units[0] >> 10) << ((units[0] & 512) >> 6)
+        for j in range(i, len(data)):
+            at ^= data[j]
+            if at >= len(units) or units[at] & 0x800000FF != data[j]:
+                break
+            leaf = units[at] >> 8 & 1
+            at ^= (units[at] >> 10) << ((units[at] & 512) >> 6)
+            if leaf:
+                found = j + 1, units[at] & 0x7FFFFFFF
+        if found is None:
+            return None
+        return found[0], self.texts[found[1] : self.texts.index(b"\0", found[1])]
+
+    def _mapped(self, text: str) -> Iterator[bytes]:
+        """Outputs of the map's arcs along a text without symbols; characters without a rule are copied in runs."""
+        data, i, copied = text.encode(), 0, 0
+        while i < len(data):
+            rule = self._rule(data, i)
+            if rule is None:
+                i += 1
+                while i < len(data) and data[i] & 0xC0 == 0x80:
+                    i += 1
+                continue
+            if copied < i:
+                yield data[copied:i]
+            yield rule[1]
+            i = copied = rule[0]
+        if copied < i:
+            yield data[copied:i]
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.units:
+            last, parts = 0, []
+            for m in self.symbols.finditer(text) if self.symbols else ():
+                parts += [*self._mapped(text[last : m.start()]), m[0].encode()]
+                last = m.end()
+            text = b"".join([*parts, *self._mapped(text[last:])]).decode()
+        if self.trim:
+            text = re.sub(" +", " ", text).lstrip(" ")
+        text = (self.space if self.dummy_prefix else "") + text.replace(" ", self.space)
+        return text.rstrip(self.space) if self.trim else text
+
+
 class Transducer:
     """Compiled model: arcs is a trie of pieces (None: the accepted piece's id), weight the tropical weight of each."""
 
     def __init__(self, raw: bytes):
         self.pieces, self.kinds, scores = [], [], []
-        self.bpe, self.dummy_prefix, self.trim, charsmap, escape = False, True, True, b"", True
+        self.bpe, self.dummy_prefix, self.trim, charsmap, escape, fallback = False, True, True, b"", True, False
         for field, value in _fields(raw):
             if field == 1:
                 x = dict(_fields(value))
@@ -76,27 +141,37 @@ class Transducer:
                 scores.append(struct.unpack("<f", x[2])[0] if 2 in x else 0.0)
                 self.kinds.append(x.get(3, NORMAL))
             elif field == 2:
-                kind = dict(_fields(value)).get(3, 1)
-                if kind not in (1, 2):
-                    raise ValueError("only unigram and BPE models are supported")
-                self.bpe = kind == 2
+                x = dict(_fields(value))
+                if x.get(3, 1) not in (1, 2) or x.get(24, 0):
+                    raise ValueError("only unigram and BPE models with spaces before words are supported")
+                self.bpe, fallback = x.get(3, 1) == 2, bool(x.get(35, 0))
             elif field == 3:
                 x = dict(_fields(value))
                 charsmap, self.dummy_prefix, self.trim, escape = x.get(2, b""), bool(x.get(3, 1)), bool(x.get(4, 1)), bool(x.get(5, 1))
-        if charsmap or not escape or USER_DEFINED in self.kinds:
-            raise ValueError("character maps, unescaped spaces and user-defined pieces are not supported")
+        if self.bpe and UNUSED in self.kinds:
+            raise ValueError("BPE models with unused pieces are not supported")
         self.score = scores
         self.unknown = self.kinds.index(UNKNOWN)
         self.byte_id = [None] * 256
         self.arcs: dict = {}
         self.id_of: dict[str, int] = {}
+        own = {}
         for i, (p, kind) in enumerate(zip(self.pieces, self.kinds)):
-            if kind == BYTE:
+            if kind == BYTE and fallback:
                 self.byte_id[int(p[3:5], 16)] = i
             elif kind == NORMAL:
                 self.id_of[p] = i
+            elif kind == USER_DEFINED:
+                own[p] = i
+        self.normalise = Normaliser(charsmap, self.dummy_prefix, self.trim, escape, list(own))
+        # user-defined symbols: a BPE text is cut at them, in a unigram lattice they outweigh other arcs
+        self.symbols, self.symbol_id = self.normalise.symbols, own
+        known = [s for s, k in zip(scores, self.kinds) if k == NORMAL]
+        top = max([float(np.finfo(np.float32).tiny), *known])
+        self.unknown_score = float(np.float32(min(known, default=0.0)) - np.float32(10.0))
+        self.arc_score = [s if k != USER_DEFINED else len(p.encode()) * top - 0.1 for p, s, k in zip(self.pieces, scores, self.kinds)]
         # a BPE piece that its own merges don't give is on no path
-        for p, i in self.id_of.items():
+        for p, i in (self.id_of if self.bpe else self.id_of | own).items():
             if not self.bpe or len(p) == 1 or self._merge(p) == [p]:
                 node = self.arcs
                 for c in p:
@@ -106,16 +181,16 @@ class Transducer:
         self.pairs: dict = {}
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.spelt: dict[int, list[int]] = {}
         inside = {c for p in self.id_of for c in p if len(p) > 1}
         spans = any(SPACE in p.lstrip(SPACE) for p in self.id_of)
         self.cuts = None
-        if not spans:
+        if self.bpe and escape and not spans:
             alone = "".join(re.escape(c) for c in ("\n", "\t", "\r") if c not in inside)
             # marks that follow a letter in no piece: a run of letters ends before them
             after = {p[k] for p in self.id_of for k in range(1, len(p)) if re.match(LETTER, p[k - 1])}
             ends = "".join(re.escape(c) for c in ".,;:!?|()-'\"" if c not in after)
-            self.cuts = re.compile(f"{SPACE}*+{LETTER}++(?![^{SPACE}{alone}{ends}])|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")) if self.bpe else None
-        self.least_single = min([0.0, *(s for s, k in zip(scores, self.kinds) if k == NORMAL)]) - 10.0
+            self.cuts = re.compile(f"{SPACE}*+{LETTER}++(?![^{SPACE}{alone}{ends}])|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
         raw_bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.out_len = np.asarray([len(b) for b in raw_bytes], np.int64)
         self.out_at = np.r_[0, np.cumsum(self.out_len)]
@@ -123,17 +198,51 @@ class Transducer:
 
     def _merge(self, text: str) -> list[str]:
         """The merges of a BPE model, best score first, leftmost of equals: what the weights are defined by."""
-        parts, ids = list(text), self.id_of
-        while len(parts) > 1:
-            best, where = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, where = self.score[i], k
-            if best is None:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-        return parts
+        ids, score, n = self.id_of, self.score, len(text)
+        if n <= 16:
+            parts = list(text)
+            while len(parts) > 1:
+                best, where = None, -1
+                for k in range(len(parts) - 1):
+                    i = ids.get(parts[k] + parts[k + 1])
+                    if i is not None and (best is None or score[i] > best):
+                        best, where = score[i], k
+                if best is None:
+                    break
+                parts[where : where + 2] = [parts[where] + parts[where + 1]]
+            return parts
+        # part k is text[k:end[k]]; before[k] is where the part before it starts. A heap entry holds where its right part
+        # began and ended: it is stale once either part has changed
+        end, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def offer(k: int) -> None:
+            mid = end[k]
+            if mid < n:
+                i = ids.get(text[k : end[mid]])
+                if i is not None:
+                    heap.append((-score[i], k, mid, end[mid]))
+
+        for k in range(n - 1):
+            offer(k)
+        heapify(heap)
+        alive = bytearray(b"\1") * n
+        while heap:
+            _, k, mid, stop = heappop(heap)
+            if not alive[k] or end[k] != mid or end[mid] != stop:
+                continue
+            end[k], alive[mid] = stop, 0
+            if stop < n:
+                before[stop] = k
+            for at in (before[k], k):
+                if at >= 0 and end[at] < n:
+                    i = ids.get(text[at : end[end[at]]])
+                    if i is not None:
+                        heappush(heap, (-score[i], at, end[at], end[end[at]]))
+        out, at = [], 0
+        while at < n:
+            out.append(text[at : end[at]])
+            at = end[at]
+        return out
 
     def _weight(self, a: str, b: str) -> float:
         """Of the arc from piece a to piece b in the context acceptor."""
@@ -170,8 +279,8 @@ class Transducer:
                         ok = self._finite(last, piece, text, back[i][0], i, j)
                     if ok:
                         back[j] = (i, piece)
-        if back[n] is None:
-            raise ValueError(f"no path accepts {text!r}")
+        if back[n] is None:  # merges that tie outside runs of spaces
+            return [self.id_of[p] if p in self.id_of else -1 - ord(p) for p in self._merge(text)]
         out, at = [], n
         while at > 0:
             at, piece = back[at]
@@ -188,11 +297,14 @@ class Transducer:
         return ok
 
     def _path_unigram(self, text: str) -> list[int]:
+        """Ids along the path of greatest score, negative as above. Sums are rounded to single precision, like the scores:
+        those that nearly tie are decided as models of this kind are run elsewhere."""
         n = len(text)
-        cost, back = [INF] * (n + 1), [(-1, 0)] * (n + 1)
-        cost[0] = 0.0
+        best, back = [None] * (n + 1), [(-1, 0)] * (n + 1)
+        best[0] = 0.0
         for i in range(n):
             node, j, single = self.arcs, i, False
+            here = best[i]
             while j < n:
                 node = node.get(text[j])
                 j += 1
@@ -201,16 +313,27 @@ class Transducer:
                 piece = node.get(None)
                 if piece is not None:
                     single |= j == i + 1
-                    if cost[i] - self.score[piece] < cost[j]:
-                        cost[j], back[j] = cost[i] - self.score[piece], (i, piece)
-            if not single and cost[i] - self.least_single < cost[i + 1]:
-                cost[i + 1], back[i + 1] = cost[i] - self.least_single, (i, -1 - ord(text[i]))
+                    total = float(np.float32(here + self.arc_score[piece]))
+                    if best[j] is None or total > best[j]:
+                        best[j], back[j] = total, (i, piece)
+            if not single:
+                total = float(np.float32(here + self.unknown_score))
+                if best[i + 1] is None or total > best[i + 1]:
+                    best[i + 1], back[i + 1] = total, (i, -1 - ord(text[i]))
         out, at = [], n
         while at > 0:
             at, piece = back[at]
             out.append(piece)
         return out[::-1]
 
+    def _spell(self, piece: int) -> list[int]:
+        """Output of the fallback arc of a character without a piece: the ids of its bytes, or the unknown id."""
+        ids = self.spelt.get(piece)
+        if ids is None:
+            ids = [self.byte_id[b] for b in chr(-1 - piece).encode("utf-8", "surrogatepass")]
+            ids = self.spelt[piece] = [self.unknown] if None in ids else ids
+        return ids
+
     def segment(self, text: str) -> bytes:
         """The packed ids of a normalised segment."""
         packed = self.older.get(text)
@@ -219,7 +342,7 @@ class Transducer:
             return packed
         if not self.bpe:
             path = self._path_unigram(text)
-        elif text.startswith(SPACE * 2):
+        elif SPACE * 2 in text:
             path = [self.id_of[p] if p in self.id_of else -1 - ord(p) for p in self._merge(text)]
         else:
             path = self._path_bpe(text)
@@ -227,9 +350,8 @@ class Transducer:
         for p in path:
             if p >= 0:
                 ids.append(p)
-                continue
-            fallback = [self.byte_id[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")]
-            ids += [self.unknown] if None in fallback else fallback
+            else:
+                ids += self._spell(p)
         packed = np.asarray(ids, self.kind).tobytes()
         if len(text) <= 64:
             self._keep(text, packed)
@@ -237,7 +359,7 @@ class Transducer:
 
     def forget(self) -> None:
         """Give the memory back when a task is over: its worker lives on."""
-        self.memory, self.older, self.pairs = {}, {}, {}
+        self.memory, self.older, self.pairs, self.spelt = {}, {}, {}, {}
         give_back()
 
     def _keep(self, text: str, packed: bytes) -> None:
@@ -246,15 +368,24 @@ class Transducer:
             self.older, self.memory = self.memory, {}
         self.memory[text] = packed
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.trim:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return np.zeros(0, self.kind)
-        text = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+    def _ids(self, text: str) -> bytes:
         segment = self.segment
-        parts = self.cuts.findall(text) if self.cuts else [text]
-        return np.frombuffer(b"".join([self.memory.get(p) or segment(p) for p in parts]), self.kind)
+        parts = self.cuts.findall(text) if self.cuts else [text] if text else []
+        return b"".join([self.memory.get(p) or segment(p) for p in parts])
+
+    def encode(self, text: str) -> np.ndarray:
+        text = self.normalise(text)
+        if self.bpe and self.symbols:
+            packed, last = [], 0
+            for m in self.symbols.finditer(text):
+                packed += [self._ids(text[last : m.start()]), np.asarray([self.symbol_id[m[0]]], self.kind).tobytes()]
+                last = m.end()
+            ids = np.frombuffer(b"".join([*packed, self._ids(text[last:])]), self.kind)
+        else:
+            ids = np.frombuffer(self._ids(text), self.kind)
+        if None in self.byte_id and len(ids) > 1:  # a run of unknown characters is one
+            ids = ids[np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)]]
+        return ids
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8 bytes; the dummy prefix's space is taken off again."""
@@ -264,6 +395,8 @@ class Transducer:
         ends = np.cumsum(size)
         at = np.arange(ends[-1]) + np.repeat(self.out_at[ids] - (ends - size), size)
         out = self.out[at].tobytes()
+        if self.trim:
+            return out.lstrip(b" ")
         return out[1:] if self.dummy_prefix and out[:1] == b" " else out
 
     def decode(self, ids) -> str:
@@ -285,7 +418,8 @@ def encode(documents: DataFrame, model: bytes, text_col: str = "text", ids_col:
     """documents with the text's piece ids, array<int>, in place of any column of that name.
 
     A null text has null ids, an empty one none. Whole texts are encoded. The ids are those of the model's own merges
-    (BPE) or best path (unigram), without begin and end marks. check_col adds whether the ids decode to the text (null for
+    (BPE) or best path (unigram), without begin and end marks. A run of any length, of spaces too, takes time
+    in proportion (spaces: n log n), and a very long text is held by its task as a whole. Columns named ids_col or check_col are replaced. check_col adds whether the ids decode to the text (null for
     a null text), found where the ids are made.
     """
     small_batches(documents.sparkSession)
