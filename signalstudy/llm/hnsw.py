@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import col, cut
 
 M = 16
 EF_BUILD = 96
@@ -160,13 +160,24 @@ class Graph:
             out[lo : lo + BLOCK, : ids.shape[1]] = ids
         return out
 
+    def scan(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """Of each query the nodes of the k largest inner products of all, with all that tie with the least of them."""
+        out = []
+        for lo in range(0, len(queries), BLOCK):
+            sims = queries[lo : lo + BLOCK] @ self.vectors.T
+            for q, sim in zip(queries[lo : lo + BLOCK], sims):
+                least = np.partition(sim, len(sim) - k)[len(sim) - k] if len(sim) > k else -np.inf
+                slack = 1e-9 * np.sqrt((q**2).sum()) * self.scale * np.sqrt(self.top)
+                out.append(np.flatnonzero(sim >= least - slack))
+        return out
+
     def dump(self) -> bytes:
-        return pickle.dumps((self.vectors, self.x, [layer.astype(np.int32) for layer in self.layers]), protocol=5)
+        return pickle.dumps((self.vectors, self.x, [layer.astype(np.int32) for layer in self.layers], self.scale, self.top), protocol=5)
 
     @classmethod
     def load(cls, raw: bytes) -> Graph:
         g = cls.__new__(cls)
-        g.vectors, g.x, g.layers = pickle.loads(raw)
+        g.vectors, g.x, g.layers, g.scale, g.top = pickle.loads(raw)
         return g
 
 
@@ -178,7 +189,7 @@ def classes(df: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id.
     """
     v = F.col("vector")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double") + F.lit(0.0)).alias("vector"))
+    rows = df.select(col(id_col).cast("long").alias("id"), F.transform(col(vector_col), lambda c: c.cast("double") + F.lit(0.0)).alias("vector"))
     rows = rows.filter(F.col("id").isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0))
     few = rows.withColumn("k", F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))).filter(F.col("k") <= keep)
     return few.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("cid", F.col("ids")[0]).withColumn("dim", F.size("vector"))
@@ -191,7 +202,8 @@ def by_dimension(df: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def build_index(cls: DataFrame, shard_rows: int = 8192) -> DataFrame:
-    """dim, shard, graph binary, ids: one row per shard of about shard_rows distinct vectors of one dimension."""
+    """cls as from classes(). Gives dim, shard, graph binary, ids: one row per shard of about shard_rows distinct vectors of
+    one dimension; none for no vectors."""
     n = cls.groupBy("dim").count().withColumn("shards", F.ceil(F.col("count") / shard_rows).cast("int")).select("dim", "shards")
     sharded = by_dimension(cls, n).withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int"))
 
@@ -203,7 +215,7 @@ def build_index(cls: DataFrame, shard_rows: int = 8192) -> DataFrame:
     return cut(sharded.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, shards int, graph binary, ids binary"), "hnsw-index")
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, shard_rows: int = 8192, wave_rows: int = 16384, ef: int = EF_SEARCH) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, shard_rows: int = 8192, wave_rows: int = 16384, ef: int = EF_SEARCH, exact: bool = False) -> DataFrame:
     """For every row whose id is divisible by every: its k nearest other rows by inner product.
 
     Returns query_id, rank int from 1, vec_id, score double; nearest first, ties to the smaller id. Equal vectors are
@@ -211,11 +223,13 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     answers queries in waves of about wave_rows, so no task holds more than a shard and a wave. Fewer candidates than k
     give fewer rows; an empty table gives none. Rows that repeat id and vector count once; where rows of one id hold
     several vectors, the least is the query, none of them its candidate, and each a candidate of other queries.
+    Graphs find most neighbours, not all; with exact every vector of a shard is compared instead. Other columns of df are
+    ignored.
     """
     cls = cut(classes(df, id_col, vector_col, k + 1), "hnsw-classes")
     index = build_index(cls, shard_rows)
     # of equal vectors more than k + 1 may be queries: their ids come from the table
-    q = df.filter(F.pmod(F.col(f"`{id_col}`").cast("long"), F.lit(every)) == 0).select(F.col(f"`{id_col}`").cast("long").alias("query_id"), F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double") + F.lit(0.0)).alias("vector"))
+    q = df.filter(F.pmod(col(id_col).cast("long"), F.lit(every)) == 0).select(col(id_col).cast("long").alias("query_id"), F.transform(col(vector_col), lambda c: c.cast("double") + F.lit(0.0)).alias("vector"))
     v = F.col("vector")
     q = q.filter(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0))
     q = q.groupBy("query_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
@@ -231,7 +245,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             for lo in range(0, len(right), 1024):
                 part = right.iloc[lo : lo + 1024]
                 vectors = np.stack(part.vector.to_list()).astype(float)
-                found = g.search(vectors, k + 1, ef)
+                found = g.scan(vectors, k + 1) if exact else g.search(vectors, k + 1, ef)
                 for query, vector, nodes in zip(part.query_id.to_numpy(), vectors, found):
                     nodes = nodes[nodes >= 0]
                     score = (g.vectors[nodes] * vector).sum(1)

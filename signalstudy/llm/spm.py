@@ -26,8 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import give_back, small_batches
+from .common import col, give_back, small_batches, wrapped
 
 SPACE = "▁"
 #: Segments whose encodings a worker remembers.
@@ -424,15 +425,13 @@ def encode(documents: DataFrame, model: bytes, text_col: str = "text", ids_col:
     """
     small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
-    at = documents.columns.index(text_col)
     keep = [c for c in documents.columns if c not in (ids_col, check_col)]
-    rows = documents.select(*[F.col(f"`{c}`") for c in keep])
-    at = keep.index(text_col)
+    rows, at = wrapped(documents.select(*[col(c) for c in keep])), keep.index(text_col)
 
     def run(batches):
         t = _compiled(held.value)
         for batch in batches:
-            texts = batch.column(at)
+            texts = batch.column(0).field(at)
             for lo in range(0, batch.num_rows, 512):
                 some = texts.slice(lo, 512).to_pylist()
                 ids = [t.encode(x) if x is not None else np.zeros(0, t.kind) for x in some]
@@ -440,15 +439,12 @@ def encode(documents: DataFrame, model: bytes, text_col: str = "text", ids_col:
                 nulls = pa.array([x is None for x in some] + [False])
                 flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
                 lists = pa.ListArray.from_arrays(pc.if_else(nulls, pa.scalar(None, pa.int32()), pa.array(offsets)), flat)
-                columns, names = [*batch.slice(lo, 512).columns, lists], [*keep, ids_col]
-                if check_col:
-                    columns.append(pa.array([t.decode_bytes(i) == x.encode() if x is not None else None for i, x in zip(ids, some)], pa.bool_()))
-                    names.append(check_col)
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                same = [t.decode_bytes(i) == x.encode() if x is not None else None for i, x in zip(ids, some)] if check_col else [None] * len(some)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), lists, pa.array(same, pa.bool_())], names=["row", "ids", "same"])
         t.forget()
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{kind}, `{ids_col}` array<int>" + (f", `{check_col}` boolean" if check_col else ""))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())]))
+    return out.select("row.*", F.col("ids").alias(ids_col), *([F.col("same").alias(check_col)] if check_col else []))
 
 
 def decode(documents: DataFrame, model: bytes, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -458,19 +454,18 @@ def decode(documents: DataFrame, model: bytes, ids_col: str = "token_ids", text_
     small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in documents.columns if c != text_col]
-    rows = documents.select(*[F.col(f"`{c}`") for c in keep])
-    at = keep.index(ids_col)
+    rows, at = wrapped(documents.select(*[col(c) for c in keep])), keep.index(ids_col)
 
     def run(batches):
         t = _compiled(held.value)
         for batch in batches:
-            col = batch.column(at)
-            out, valid = [], col.is_valid().to_numpy(zero_copy_only=False)
-            values, offsets = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+            lists, out = batch.column(0).field(at), []
+            valid = lists.is_valid().to_numpy(zero_copy_only=False)
+            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for k in range(batch.num_rows):
                 out.append(t.decode_bytes(values[offsets[k] : offsets[k + 1]]).decode("utf-8", "replace") if valid[k] else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*keep, text_col])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
         give_back()
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{kind}, `{text_col}` string")
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
+    return out.select("row.*", F.col("text").alias(text_col))

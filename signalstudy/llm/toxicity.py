@@ -8,6 +8,7 @@ mean, an n-gram's whole effect is one number, and scoring sums numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches
+from .common import col, give_back, small_batches, unwrapped, wrapped
 
 NGRAMS = (3, 4, 5)
 BUCKET_BITS = 20
@@ -32,31 +33,45 @@ _SEPARATOR[:128] = [not chr(c).isalnum() for c in range(128)]
 _SEPARATOR[0x80:0xAA] = _SEPARATOR[0x2000:0x2070] = _SEPARATOR[0x3000:0x3040] = True
 
 
-def ngram_buckets(texts: list[str], bits: int = BUCKET_BITS, ngrams: tuple[int, ...] = NGRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all texts' distinct words, and of each its text's number."""
+def _windows(texts: list[str], bits: int, ngrams: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the n-grams of all texts' distinct words, and of each its text's number, for n-grams that begin in one
+    stretch of CHUNK_CHARS after another."""
     low = [" ".join(dict.fromkeys(t.lower().split())) + "\n" for t in texts]
     code = np.frombuffer("".join(["\n", *low]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.repeat(np.arange(len(low)), [len(t) for t in low])
+    doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
     doc = np.r_[doc[:1], doc]  # the leading separator
     sep = _SEPARATOR[np.minimum(code, len(_SEPARATOR) - 1)]
     keep = ~sep | np.r_[True, ~sep[:-1]]  # one separator between words
-    code, doc, letter = np.where(sep, 0, code)[keep].astype(np.uint64), doc[keep], ~sep[keep]
-    upto = np.r_[0, np.cumsum(letter)]
-    buckets, docs, h = [], [], code.copy()
-    for n in range(2, max(ngrams) + 1):
-        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :]
-        if n in ngrams:
-            size = len(h)
-            if size <= 0:
-                break
+    code, doc, letter = np.where(sep, 0, code)[keep], doc[keep], ~sep[keep]
+    for lo in range(0, len(code), CHUNK_CHARS):
+        part, owner, known = (a[lo : lo + CHUNK_CHARS + max(ngrams) - 1] for a in (code, doc, letter))
+        part = part.astype(np.uint64)
+        upto, h = np.r_[0, np.cumsum(known)], part
+        for n in range(2, max(ngrams) + 1):
+            h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + part[n - 1 :]
+            size = min(len(h), CHUNK_CHARS)
+            if n not in ngrams or size <= 0:
+                continue
             inner = upto[n - 1 : n - 1 + size] - upto[1 : 1 + size]  # letters strictly inside
-            at = np.flatnonzero((inner == n - 2) & (letter[:size] | letter[n - 1 : n - 1 + size]))
+            at = np.flatnonzero((inner == n - 2) & (known[:size] | known[n - 1 : n - 1 + size]))
             mixed = (h[at] ^ (h[at] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
-            buckets.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
-            docs.append(doc[at + 1])
-    if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(docs)
+            yield (mixed >> np.uint64(64 - bits)).astype(np.int64), owner[at + 1]
+
+
+def ngram_buckets(texts: list[str], bits: int = BUCKET_BITS, ngrams: tuple[int, ...] = NGRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all texts' distinct words, and of each its text's number."""
+    found = list(_windows(texts, bits, ngrams))
+    return np.concatenate([b for b, _ in found] or [np.zeros(0, np.int64)]), np.concatenate([d for _, d in found] or [np.zeros(0, np.int32)])
+
+
+def bag(text: str, bits: int = BUCKET_BITS, ngrams: tuple[int, ...] = NGRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text's n-grams and how often each occurs."""
+    ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for buckets, _ in _windows([text], bits, ngrams):
+        more, n = np.unique(buckets, return_counts=True)
+        ids, at = np.unique(np.r_[ids, more], return_inverse=True)
+        counts = np.bincount(at, np.r_[counts, n], minlength=len(ids)).astype(np.int64)
+    return ids, counts
 
 
 def _chunks(texts):
@@ -81,9 +96,11 @@ class Model:
         """texts: a list, or an Arrow array."""
         out = []
         for run in _chunks(texts):
-            buckets, docs = ngram_buckets(run)
-            n = np.bincount(docs, minlength=len(run))
-            out.append(np.bincount(docs, self.effect[buckets], minlength=len(run)) / (n + PRIOR) + self.bias)
+            n, total = np.zeros(len(run)), np.zeros(len(run))
+            for buckets, docs in _windows(run, len(self.effect).bit_length() - 1, NGRAMS):
+                n += np.bincount(docs, minlength=len(run))
+                total += np.bincount(docs, self.effect[buckets], minlength=len(run))
+            out.append(total / (n + PRIOR) + self.bias)
         return np.concatenate(out) if out else np.zeros(0)
 
     def scores(self, texts) -> np.ndarray:
@@ -153,14 +170,13 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     one = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     one = one.withColumn("h", F.xxhash64(F.lit(29), id_col))
     picked = one.filter("label = 1").orderBy("h", id_col).limit(most_rows[1]).unionByName(one.filter("label = 0").orderBy("h", id_col).limit(most_rows[0]))
-    rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(picked.select(F.col(id_col).alias("id"), "label")), "id")
+    rows = documents.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(picked.select(F.col(id_col).alias("id"), "label")), "id")
 
     def bags(batches):
         for b in batches:
             for i, label, text in zip(b.column("id").to_pylist(), b.column("label").to_pylist(), b.column("text").to_pylist()):
-                buckets = ngram_buckets([text or ""])[0]
-                ids, n = np.unique(buckets, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([label], pa.int32()), pa.array([ids.astype(np.int32).tobytes()]), pa.array([(n / (len(buckets) + PRIOR)).astype(np.float32).tobytes()])], names=["id", "label", "ids", "share"])
+                ids, n = bag(text or "")
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([label], pa.int32()), pa.array([ids.astype(np.int32).tobytes()]), pa.array([(n / (n.sum() + PRIOR)).astype(np.float32).tobytes()])], names=["id", "label", "ids", "share"])
 
     kind = rows.schema["id"].dataType.simpleString()
     found = sorted(rows.select("id", F.col("label").cast("int"), "text").mapInArrow(bags, f"id {kind}, label int, ids binary, share binary").collect(), key=lambda r: (r.id, bytes(r.ids)))
@@ -179,12 +195,14 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.scores(b.column(1)), pa.float64())], names=["id", "score"])
 
-    rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = documents.select(col(id_col).alias("id"), col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """documents without those that score threshold or more, columns and rows otherwise as they are."""
+    """documents without those that score threshold or more, columns and rows otherwise as they are: null ids and rows that
+    repeat are judged by their texts alone. A null text is an empty one; both score the bias, which is below 0.7 unless
+    the training rows were nearly all toxic. Whole texts are judged, each held by its task."""
     small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model.effect.astype(np.float32), model.bias))
     at = documents.columns.index(text_col)
@@ -192,7 +210,8 @@ def keep_clean(documents: DataFrame, model: Model, text_col: str = "text", thres
     def run(batches):
         m = Model(*held.value)
         for b in batches:
-            yield b.filter(pa.array(m.scores(b.column(at)) < threshold))
+            yield b.filter(pa.array(m.scores(b.column(0).field(at)) < threshold))
         give_back()
 
-    return documents.mapInArrow(run, documents.schema)
+    rows = wrapped(documents)
+    return unwrapped(rows.mapInArrow(run, rows.schema))

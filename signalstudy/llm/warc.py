@@ -2,7 +2,8 @@
 
 A bundle is a run of independent Zstandard frames, each holding whole records, closed by a skippable frame with the
 seek table of the public seekable format. The index maps a record to its bundle, frame, and offset and length within
-the frame, so one record is read by decompressing one frame. Bundles travel as rows of a table in the shared folder.
+the frame, so one record is read by decompressing one frame. Bundles are .warc.zst files in the shared folder, which
+any reader of Zstandard files can open; the table of bundles names them and holds their index.
 """
 
 from __future__ import annotations
@@ -11,22 +12,26 @@ import base64
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import by_bitmap, col, cut, shared_dir, small_batches
 
 SEEKABLE_MAGIC = 0x8F92EAB1
 SKIPPABLE_MAGIC = 0x184D2A5E
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 24
 
-BUNDLES = "bundle string, archive binary, records array<struct<record_id: string, frame: int, offset: int, length: int>>"
+#: Payloads that most rows share, whose responses are broadcast; and tasks that read archives, at most.
+MOST_SHARED, MOST_READERS = 1024, 20_000
+
+BUNDLES = "bundle string, path string, bytes long, records array<struct<record_id: string, frame: int, offset: bigint, length: bigint>>"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -58,13 +63,17 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
 
-def frames_of(archive: bytes) -> list[tuple[int, int, int]]:
-    """Start, compressed size and plain size of every frame, from the seek table at the archive's end."""
-    n, descriptor, magic = struct.unpack("<IBI", archive[-9:])
+def frames_of(archive) -> list[tuple[int, int, int]]:
+    """Start, compressed size and plain size of every frame, from the seek table at the end of a file object (or of bytes)."""
+    f = pa.BufferReader(archive) if isinstance(archive, bytes) else archive
+    size = f.seek(0, 2)
+    f.seek(max(0, size - 9))
+    n, descriptor, magic = struct.unpack("<IBI", f.read(9).rjust(9, b"\0"))
     if magic != SEEKABLE_MAGIC:
         raise ValueError("no seek table at the end of the archive")
     entry = 12 if descriptor & 0x80 else 8
-    table, out, at = archive[-9 - n * entry : -9], [], 0
+    f.seek(size - 9 - n * entry)
+    table, out, at = f.read(n * entry), [], 0
     for i in range(n):
         packed, plain = struct.unpack_from("<II", table, i * entry)
         out.append((at, packed, plain))
@@ -72,21 +81,38 @@ def frames_of(archive: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def read_frame(archive: bytes, frame: tuple[int, int, int]) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(archive[frame[0] : frame[0] + frame[1]], max_output_size=frame[2])
+def read_frame(archive, frame: tuple[int, int, int]) -> bytes:
+    f = pa.BufferReader(archive) if isinstance(archive, bytes) else archive
+    f.seek(frame[0])
+    return zstandard.ZstdDecompressor().decompress(f.read(frame[1]), max_output_size=frame[2])
+
+
+def place_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path that a place in the shared folder is on."""
+    try:
+        return fs.FileSystem.from_uri(path)
+    except pa.ArrowException as e:
+        raise ValueError(f"archives can't be written to {path}: {e}") from e
 
 
 class Bundler:
-    """Collects records; emits a bundle's archive and index when it is full."""
+    """Writes records to a bundle's file, frame by frame. Its name is its own, so a task that is run again leaves the bundle
+    of its first run beside, which no table names. The file takes its name when it is whole."""
 
-    def __init__(self, level: int, frame_bytes: int, bundle_bytes: int):
-        self.zstd, self.frame_bytes, self.bundle_bytes = zstandard.ZstdCompressor(level=level), frame_bytes, bundle_bytes
+    def __init__(self, folder: str, level: int, frame_bytes: int, bundle_bytes: int):
+        self.fs, self.folder = place_of(folder)
+        self.at, self.zstd, self.frame_bytes, self.bundle_bytes = folder, zstandard.ZstdCompressor(level=level), frame_bytes, bundle_bytes
+        self.out = None
         self.clear()
 
     def clear(self) -> None:
-        self.packed, self.sizes, self.index, self.open, self.held, self.total = [], [], [], [], 0, 0
+        self.sizes, self.index, self.open, self.held, self.total = [], [], [], 0, 0
 
     def add(self, record_id: str, raw: bytes) -> None:
+        if self.out is None:
+            self.name = f"bundle-{uuid.uuid4().hex}.warc.zst"
+            self.fs.create_dir(self.folder, recursive=True)
+            self.out = self.fs.open_output_stream(f"{self.folder}/.{self.name}", compression=None)
         self.index.append({"record_id": record_id, "frame": len(self.sizes), "offset": self.held, "length": len(raw)})
         self.open.append(raw)
         self.held += len(raw)
@@ -96,7 +122,7 @@ class Bundler:
     def close_frame(self) -> None:
         if self.open:
             frame = self.zstd.compress(b"".join(self.open))
-            self.packed.append(frame)
+            self.out.write(frame)
             self.sizes.append((len(frame), self.held))
             self.total += len(frame)
             self.open, self.held = [], 0
@@ -104,64 +130,76 @@ class Bundler:
     def full(self) -> bool:
         return self.total >= self.bundle_bytes
 
-    def finish(self) -> tuple[bytes, list[dict]]:
+    def finish(self) -> dict:
         self.close_frame()
-        out = b"".join(self.packed) + seek_table(self.sizes), self.index
+        table = seek_table(self.sizes)
+        self.out.write(table)
+        self.out.close()
+        self.out = None
+        self.fs.move(f"{self.folder}/.{self.name}", f"{self.folder}/{self.name}")
+        row = {"bundle": self.name, "path": f"{self.at}/{self.name}", "bytes": self.total + len(table), "records": self.index}
         self.clear()
-        return out
+        return row
 
 
 def _uri(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0, level: int = 3, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Write a record per row and return the table of bundles (columns as in BUNDLES), held in the shared folder.
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0, level: int = 3, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, folder: str | None = None) -> DataFrame:
+    """Write a record per row into .warc.zst files in folder (by default one of its own in the shared folder) and return
+    the table of bundles (columns as in BUNDLES).
 
     Of rows with equal payloads of at least min_revisit_bytes, the one with the largest id is a response and the
     others revisit it; a null payload is empty. Null ids lose against others and revisit them; rows that repeat the
     largest id are all responses. Control characters and spaces in a url are percent-encoded, a null url is empty.
-    An empty table gives no bundles.
+    A payload is held whole by the task that writes it. An empty table gives no bundles. Other columns are ignored.
+
+    Only ids and digests are shuffled, and the payloads of rare repeated pages: pages that occur once are kept in place by
+    a bitmap of the repeated digests, and the responses of the most repeated ones are broadcast.
     """
-    small_batches(pages.sparkSession)
-    payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
-    shared = rows.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null").select("digest", "first_id")
+    spark = pages.sparkSession
+    small_batches(spark)
+    folder = folder or f"{shared_dir(spark)}/signalstudy/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
+    place_of(folder)
+    payload = F.coalesce(col(payload_col), F.lit("")).cast("binary")
+    rows = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
+    shared = rows.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null")
     shared = cut(shared, "warc-shared")
-    rows = rows.join(shared, "digest", "left").select(F.col("id").cast("string").alias("id"), "url", "payload", F.base64("digest").alias("digest"), F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id")).cast("string").alias("refers_to"))
+    top = cut(shared.orderBy(F.desc("n"), "digest").limit(MOST_SHARED).drop("n"), "warc-most-shared")
+    rare = shared.join(F.broadcast(top.select("digest")), "digest", "left_anti").select("digest", F.col("first_id").alias("rare_id"))
+    sure, unsure = by_bitmap(rows.join(F.broadcast(top), "digest", "left"), ["digest"], rare.select("digest"))
+    first = F.coalesce("first_id", "rare_id")
+    rows = sure.withColumn("rare_id", F.lit(None).cast(rare.schema["rare_id"].dataType)).unionByName(unsure.join(rare, "digest", "left"))
+    rows = rows.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(first), first).cast("string").alias("refers_to"))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, b = TaskContext.get().partitionId(), 0, Bundler(level, frame_bytes, bundle_bytes)
-
-        def emit():
-            archive, index = b.finish()
-            return pa.RecordBatch.from_pylist([{"bundle": f"bundle-{part:06d}-{made:04d}.warc.zst", "archive": archive, "records": index}], schema=schema)
-
+        b = Bundler(folder, level, frame_bytes, bundle_bytes)
         for batch in batches:
             for row in batch.to_pylist():
                 rid = f"urn:x-page:{row['id'] if row['id'] is not None else ''}"
-                digest = base64.b32encode(base64.b64decode(row["digest"])).decode()
+                digest = base64.b32encode(row["digest"]).decode()
                 b.add(rid, record(rid, _uri(row["url"]), date, row["payload"], digest, f"urn:x-page:{row['refers_to']}" if row["refers_to"] is not None else None))
                 if b.full():
-                    yield emit()
-                    made += 1
+                    yield pa.RecordBatch.from_pylist([b.finish()], schema=schema)
         if b.index:
-            yield emit()
+            yield pa.RecordBatch.from_pylist([b.finish()], schema=schema)
 
-    struct_ = pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])
-    schema = pa.schema([("bundle", pa.string()), ("archive", pa.binary()), ("records", pa.list_(struct_))])
+    struct_ = pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
+    schema = pa.schema([("bundle", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("records", pa.list_(struct_))])
     return cut(rows.mapInArrow(bundle, BUNDLES), "warc-bundles")
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
-    """record_id, bundle, frame, offset and length of every record."""
-    return bundles.select("bundle", F.explode("records").alias("r")).select("r.record_id", "bundle", "r.frame", "r.offset", "r.length")
+    """record_id, path, frame, offset and length of every record."""
+    return bundles.select("path", F.explode("records").alias("r")).select("r.record_id", "path", "r.frame", "r.offset", "r.length")
 
 
 def read_archives(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Every record of the archives, read through seek tables and index: record_id, bundle, record_type, uri,
-    payload_bytes long, payload_digest and refers_to (record id, null for responses), and the payload if asked for.
-    A response whose payload doesn't match its digest or length raises.
+    """Every record of the archives, read from their files through seek tables and index: record_id, bundle, record_type,
+    uri, payload_bytes long, payload_digest and refers_to (record id, null for responses), and the payload if asked for.
+    One frame is held at a time. A response whose payload doesn't match its digest or length raises. No bundles give no
+    rows.
     """
     names = ["record_id", "bundle", "record_type", "uri", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * with_payload
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_payload
@@ -170,9 +208,9 @@ def read_archives(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                found, archive = [], row["archive"]
-                frames = frames_of(archive)
-                plain, at = b"", -1
+                files, path = place_of(row["path"])
+                found, archive = [], files.open_input_file(path)
+                frames, plain, at = frames_of(archive), b"", -1
                 for r in row["records"]:
                     if r["frame"] != at:
                         at = r["frame"]
@@ -190,9 +228,12 @@ def read_archives(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], schema=schema)
 
     sql = ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'binary' if n == 'payload' else 'string'}" for n in names)
-    return bundles.mapInArrow(read, sql)
+    tasks = max(1, min(bundles.count(), MOST_READERS))
+    return bundles.select("bundle", "path", "records").repartition(tasks).mapInArrow(read, sql)
 
 
-def read_record(archive: bytes, frame: int, offset: int, length: int) -> dict:
-    """One record by its place in the index: only its frame is decompressed."""
-    return parse(read_frame(archive, frames_of(archive)[frame])[offset : offset + length])
+def read_record(path: str, frame: int, offset: int, length: int) -> dict:
+    """One record by its place in the index: only its frame is read and decompressed."""
+    files, path = place_of(path)
+    with files.open_input_file(path) as archive:
+        return parse(read_frame(archive, frames_of(archive)[frame])[offset : offset + length])
