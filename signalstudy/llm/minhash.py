@@ -6,7 +6,7 @@ becomes a link only after its full shingle sets have been compared.
 
 Equal word sequences are one node. Within a bucket, signatures tell which pairs can reach the similarity; a spanning
 forest of those gives clusters, in which pairs are compared on their full sets by products of incidence matrices. A
-large group is compared inside blocks, then by representatives of what was found linked; only members that are still
+large group is compared inside blocks, then with the best linked member of each block; only members that are still
 apart from the rest meet all others. Rows between steps are members and forest edges, never all pairs of a group.
 """
 
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, col, cut, drop_rows, give_back, join_shared, small_batches
+from .common import WS, by_bitmap, col, cut, drop_rows, give_back, join_shared, small_batches
 from .quotes import LOWER, UPPER
 
 SHINGLE = 5
@@ -205,35 +205,9 @@ def sketch(documents: DataFrame, id_col: str, text_col: str, exact: int | None =
     return rows.mapInArrow(run, "id long, n long, words binary, sig binary, keys array<long>")
 
 
-def id_bitmap(ids: DataFrame, rows: int) -> bytes:
-    """A bitmap in which every id of ids (one column) has its bit set; others rarely. About 16 bits a row, 16 MB at most."""
-    bits = min(max(20, (16 * max(rows, 1) - 1).bit_length()), 27)
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
-    parts = ids.select((place / 32768).cast("long").alias("bucket"), (place % 32768).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("b"))
-    out = bytearray(1 << (bits - 3))
-    for r in parts.collect():
-        out[r.bucket * 4096 : (r.bucket + 1) * 4096] = r.b
-    return bytes(out)
-
-
-def with_bit(rows: DataFrame, bitmap: bytes) -> DataFrame:
-    """The rows (with a column id) whose id may be in the bitmap: one row in thousands is let through beside them."""
-    held = rows.sparkSession.sparkContext.broadcast(bitmap)
-    shift = 64 - (len(bitmap).bit_length() + 2)
-    names = rows.columns
-
-    def run(batches):
-        bit = np.frombuffer(held.value, np.uint8)
-        for b in batches:
-            place = b.column("_place").to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array((bit[place >> 3] >> (place & 7)) & 1 == 1)).select(names)
-
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.withColumn("_place", F.shiftrightunsigned(F.xxhash64("id"), shift)).mapInArrow(run, kind)
-
-
-def shingles_of(documents: DataFrame, id_col: str, text_col: str, bitmap: bytes, words: bool = False) -> DataFrame:
-    """id, set (packed hashes) and, if asked for, digest of the word sequence of the documents whose id may be in the bitmap."""
+def shingles_of(documents: DataFrame, id_col: str, text_col: str, ids: DataFrame, words: bool = False) -> DataFrame:
+    """id, set (packed hashes) and, if asked for, digest of the word sequence of the documents whose id may be in ids: a
+    bitmap of them lets one row in thousands through beside."""
     texts = documents.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).filter("id is not null")
 
     def run(batches):
@@ -243,7 +217,7 @@ def shingles_of(documents: DataFrame, id_col: str, text_col: str, bitmap: bytes,
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(some)), pa.array([s.tobytes() for s in shingle_sets(some)], pa.binary()), *digests], names=["id", "s", "words"][: 2 + words])
         give_back()
 
-    return with_bit(texts, bitmap).mapInArrow(run, "id long, s binary" + ", words binary" * words)
+    return by_bitmap(texts, ["id"], ids)[1].mapInArrow(run, "id long, s binary" + ", words binary" * words)
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -287,44 +261,71 @@ def _dealt(members: DataFrame, name: str) -> DataFrame:
     return m.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def group_edges(members: DataFrame, payload: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], name: str) -> DataFrame:
+def merges(linked: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """One link for each step of joining these components, no link inside one."""
+    _, comp = np.unique(comp, return_inverse=True)
+    a, b = np.nonzero(np.triu(linked & (comp[:, None] != comp[None, :])))
+    pair = np.minimum(comp[a], comp[b]) * (comp.max() + 1) + np.maximum(comp[a], comp[b])
+    _, first = np.unique(pair, return_index=True)
+    a, b = a[first], b[first]
+    between = np.full((comp.max() + 1, comp.max() + 1), -1)
+    between[comp[a], comp[b]] = between[comp[b], comp[a]] = np.arange(len(a))
+    return [(a[k], b[k]) for i, j in forest(between >= 0) for k in [between[i, j]]]
+
+
+def group_edges(members: DataFrame, payload: DataFrame, links: Callable[[pd.DataFrame], np.ndarray], name: str) -> DataFrame:
     """Edges (a, b) with the components that all pairs of each group, compared, would have.
 
-    members: g, id, cost (bytes). payload: id and what compare reads; compare takes whole groups or parts of one (g, id,
-    payload) and gives a spanning forest of each one's links. Small groups share tasks of bounded bytes. The members of a
-    large one are compared inside blocks, and one of each component of each block with those of other blocks. Then
-    those apart from the group's greatest component meet every member: pairs inside one component need no comparing.
+    members: g, id, cost (bytes). payload: id and what links reads; links gives the adjacency matrix of some members of one
+    group. Small groups share tasks of bounded bytes. The members of a large one are compared inside blocks, then with the best linked
+    member of every block; copies of one original are one component by then. Those still outside the greatest
+    component meet every member, so that no link between components is missed: pairs inside one need no comparing.
     """
-    kind, ids = "a long, b long", ["g", "id"]
+
+    def each(pdf: pd.DataFrame, hubs: bool = False, comps: bool = False) -> pd.DataFrame:
+        edges = []
+        for g, x in pdf.groupby("g", sort=False):
+            x = x.drop_duplicates("id").sort_values("id")
+            linked, ids_ = links(x), x.id.to_numpy()
+            edges += [(g, ids_[a], ids_[b]) for a, b in (merges(linked, x.comp.to_numpy()) if comps else forest(linked))]
+            edges += [(g, ids_[k], ids_[k]) for k in [linked.sum(1).argmax()] if hubs]  # an edge to itself marks a hub
+        if len(pdf) >= BLOCK_MEMBERS // 2:
+            give_back()
+        return pd.DataFrame(edges, columns=["g", "a", "b"]).astype("int64")
+
+    kind = "g long, a long, b long"
     dealt = cut(_dealt(members, name), f"near-dealt-{name}")
     total = dealt.filter("blocks = 1").agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("n")).first().n
     tasks = max(LEAST_TASKS, ceil(total / TASK_BYTES))
-    small = dealt.filter("blocks = 1").select(*ids).join(payload, "id").withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tasks)))
-    out = [cut(small.groupBy("t").applyInPandas(compare, kind), f"near-small-{name}")]
+    small = dealt.filter("blocks = 1").select("g", "id").join(payload, "id").withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tasks)))
+    out = [cut(small.groupBy("t").applyInPandas(lambda pdf: each(pdf), kind).select("a", "b"), f"near-small-{name}")]
     if not dealt.filter("blocks > 1").take(1):
         return out[0]
-    held = cut(dealt.filter("blocks > 1").join(payload, "id"), f"near-large-{name}")
-    out.append(cut(held.groupBy("g", "block").applyInPandas(compare, kind), f"near-inside-{name}"))
     found = lambda: reduce(DataFrame.unionByName, out)
+    held = cut(dealt.filter("blocks > 1").select("g", "id", "cost", "block", "blocks").join(payload, "id"), f"near-large-{name}")
+    data = held.select("g", "id", *[c for c in payload.columns if c != "id"])
     places = held.select("g", "id", "cost", "block", "blocks")
-    # one of each component of each block
-    one = places.join(components(found()), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    reps = one.groupBy("g", "block", "comp").agg(F.min(F.struct("id", "cost")).alias("r")).select("g", "r.id", "r.cost").distinct()
-    reps = _dealt(cut(reps, f"near-reps-{name}"), f"reps-{name}").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    reps = reps.select("g", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    out.append(cut(reps.join(held.drop("block", "blocks", "size", "bytes", "cost"), ids).groupBy("g", "i", "j").applyInPandas(compare, kind), f"near-across-{name}"))
-    # those outside the group's greatest component meet all
+
+    first = cut(held.groupBy("g", "block").applyInPandas(lambda pdf: each(pdf, hubs=True), kind), f"near-inside-{name}")
+    out.append(first.filter("a <> b").select("a", "b"))
+    # hubs only hasten things: of more blocks than a task holds, every so many'th
+    hub = places.join(first.filter("a = b").select("g", F.col("a").alias("id")), ["g", "id"])
+    hub = hub.filter(F.col("block") % F.ceil(F.col("blocks") / BLOCK_MEMBERS) == 0)
+    hub = hub.select("g", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    meet = places.select("g", "id", "block").unionByName(hub).distinct().join(data, ["g", "id"])
+    out.append(cut(meet.groupBy("g", "block").applyInPandas(lambda pdf: each(pdf), kind).select("a", "b"), f"near-hubs-{name}"))
+
     two = cut(places.join(components(found()), "id", "left").withColumn("comp", F.coalesce("comp", "id")), f"near-places-{name}")
     main = two.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "comp")).alias("m")).select("g", F.col("m.comp").alias("main"))
-    apart = two.join(main, "g").filter("comp <> main").select("g", "id", "cost", F.col("blocks").alias("all"))
+    apart = cut(two.join(main, "g").filter("comp <> main").select("g", "id", "comp", "cost", F.col("blocks").alias("all")), f"near-apart-{name}")
     if not apart.take(1):
         return found()
-    apart = cut(apart, f"near-apart-{name}")
-    rows = _dealt(apart, f"apart-{name}").select("g", "id", F.col("block").alias("i"), "blocks", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"))
-    wide = rows.groupBy("g").agg(F.max("blocks").alias("apart"))
-    others = two.join(wide, "g").select("g", "id", F.explode(F.sequence(F.lit(0), F.col("apart") - 1)).alias("i"), F.col("block").alias("j"))
-    meet = rows.select("g", "id", "i", "j").unionByName(others).distinct()
-    out.append(cut(meet.join(held.drop("block", "blocks", "size", "bytes", "cost"), ids).groupBy("g", "i", "j").applyInPandas(compare, kind), f"near-apart-{name}"))
+    few = _dealt(apart, f"apart-{name}").withColumnRenamed("block", "i")
+    wide = few.groupBy("g").agg(F.max("blocks").alias("parts"))
+    few = few.select("g", "id", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"))
+    all_ = two.join(wide, "g").select("g", "id", "comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"))
+    meet = few.unionByName(all_).distinct().join(data, ["g", "id"])
+    out.append(cut(meet.groupBy("g", "i", "j").applyInPandas(lambda pdf: each(pdf, comps=True), kind).select("a", "b"), f"near-met-{name}"))
     return found()
 
 
@@ -383,47 +384,38 @@ def linked_rows(documents: DataFrame, id_col: str, text_col: str, percent: int,
     s = percent / 100
     least_equal = COORDINATES * (s - 5 * np.sqrt(s * (1 - s) / COORDINATES))
 
-    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = []
-        for _, x in pdf.groupby("g", sort=False):
-            x = x.drop_duplicates("id").sort_values("id")
-            sig, n, ids_ = np.frombuffer(b"".join(x.sig), np.uint32).reshape(len(x), -1), x.n.to_numpy(), x.id.to_numpy()
-            same = np.stack([(sig == row).sum(1) for row in sig]) >= least_equal
-            same &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
-            edges += [(ids_[a], ids_[b]) for a, b in forest(same)]
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+    def alike(x: pd.DataFrame) -> np.ndarray:
+        sig, n = np.frombuffer(b"".join(x.sig), np.uint32).reshape(len(x), -1), x.n.to_numpy()
+        same = np.stack([(sig == row).sum(1) for row in sig]) >= least_equal
+        return same & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
 
     if exact:
         clusters = groups
     else:
-        ids = cut(groups.select("id").distinct(), "near-members")
-        sigs = with_bit(valid.select("id", "n", "sig"), id_bitmap(ids, ids.count())).dropDuplicates(["id"])
-        near = group_edges(groups.withColumn("cost", F.lit(64 + 4 * COORDINATES).cast("long")), sigs, candidates, "candidates")
-        clusters = cut(components(near).select(F.col("comp").alias("g"), "id"), "near-clusters")
+        # of a large bucket all members are candidates of one another: a star of edges says so
+        large = groups.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("a")).filter(F.col("n") > BLOCK_MEMBERS)
+        large = cut(large.select("g", "a", "n"), "near-large-buckets")
+        star = join_shared(groups, large, "g", "n").filter("id <> a").select("a", F.col("id").alias("b"))
+        groups = cut(groups.join(large.select("g"), "g", "left_anti"), "near-small-buckets")
+        sigs = by_bitmap(valid.select("id", "n", "sig"), ["id"], cut(groups.select("id").distinct(), "near-members"))[1].dropDuplicates(["id"])
+        near = group_edges(groups.withColumn("cost", F.lit(64 + 4 * COORDINATES).cast("long")), sigs, alike, "candidates")
+        clusters = cut(components(near.unionByName(star)).select(F.col("comp").alias("g"), "id"), "near-clusters")
     ids = cut(clusters.select("id").distinct(), "near-members")
-    bitmap = id_bitmap(ids, ids.count())
-    costs = with_bit(valid.select("id", "n"), bitmap).dropDuplicates(["id"]).select("id", (64 + 8 * F.col("n")).alias("cost"))
+    costs = by_bitmap(valid.select("id", "n"), ["id"], ids)[1].dropDuplicates(["id"]).select("id", (64 + 8 * F.col("n")).alias("cost"))
     clusters = cut(clusters.join(costs, "id"), "near-clusters")
 
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = []
-        for _, x in pdf.groupby("g", sort=False):
-            x = x.drop_duplicates("id").sort_values("id")
-            sets, ids_ = [np.frombuffer(v, np.uint64) for v in x.s], x.id.to_numpy()
-            n, both = np.asarray([len(v) for v in sets], float), common(sets)
-            linked = (100 * both >= percent * (np.add.outer(n, n) - both)) & (both > 0)
-            edges += [(ids_[a], ids_[b]) for a, b in forest(linked)]
-        if len(pdf) >= BLOCK_MEMBERS // 2:
-            give_back()
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+    def verified(x: pd.DataFrame) -> np.ndarray:
+        sets = [np.frombuffer(v, np.uint64) for v in x.s]
+        n, both = np.asarray([len(v) for v in sets], float), common(sets)
+        return (100 * both >= percent * (np.add.outer(n, n) - both)) & (both > 0)
 
     if nodes is None:
-        sets = shingles_of(documents, id_col, text_col, bitmap).dropDuplicates(["id"])
+        sets = shingles_of(documents, id_col, text_col, ids).dropDuplicates(["id"])
     else:
         members = nodes.join(ids.select(F.col("id").alias("node")), "node")
-        sets = shingles_of(documents, id_col, text_col, id_bitmap(members.select("id"), ids.count()), True).join(members, ["id", "words"])
+        sets = shingles_of(documents, id_col, text_col, cut(members.select("id").distinct(), "near-members"), True).join(members, ["id", "words"])
         sets = sets.select(F.col("node").alias("id"), "s").dropDuplicates(["id"])
-    comps = components(group_edges(clusters, sets, links, "links"))
+    comps = components(group_edges(clusters, sets, verified, "links"))
 
     # a copy's component is that of the document that stands for it
     node = copies.select(F.col("id").alias("node"), "rep").join(comps, F.col("rep") == F.col("id"), "left").select("node", F.coalesce("comp", "rep").alias("comp"))
