@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, give_back, small_batches, unwrapped, wrapped
+from .common import col, cut, give_back, small_batches, unwrapped, wrapped
 
 NGRAMS = (3, 4, 5)
 BUCKET_BITS = 20
@@ -165,7 +165,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: tuple[int, int] = MOST_ROWS) -> Model:
     """Fit on at most most_rows[c] labelled rows of class c, on whole texts; null labels and ids are skipped and
-    an id labelled twice counts as the greater label. The driver gets only their n-gram bags."""
+    an id labelled twice counts as the greater label; of an id with several texts each is a training row. The driver gets
+    only their n-gram bags, in turn. No labels, or labels of one class, give a constant model."""
     small_batches(documents.sparkSession)
     one = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     one = one.withColumn("h", F.xxhash64(F.lit(29), id_col))
@@ -178,11 +179,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 ids, n = bag(text or "")
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([label], pa.int32()), pa.array([ids.astype(np.int32).tobytes()]), pa.array([(n / (n.sum() + PRIOR)).astype(np.float32).tobytes()])], names=["id", "label", "ids", "share"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = sorted(rows.select("id", F.col("label").cast("int"), "text").mapInArrow(bags, f"id {kind}, label int, ids binary, share binary").collect(), key=lambda r: (r.id, bytes(r.ids)))
-    bags_ = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32)) for r in found]
-    found = [r.label for r in found]
-    return train(bags_, np.asarray(found, int))
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, label int, ids binary, share binary"
+    table = cut(rows.select("id", F.col("label").cast("int"), "text").mapInArrow(bags, kind), "toxicity-bags")
+    # one partition after another: the driver's JVM never holds them all
+    found = [(r.id, r.label, np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32)) for r in table.toLocalIterator()]
+    found.sort(key=lambda r: (r[0], r[2].tobytes()))
+    return train([r[2:] for r in found], np.asarray([r[1] for r in found], int))
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
