@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import average_rank
+from ..sources.store import written
 
 MODES = ("same_date", "same_date_style", "unconditional", "event_stock_history")
 
@@ -41,10 +42,36 @@ def same_date_style(labels: DataFrame, triggers: DataFrame, buckets: DataFrame)
 
 
 def unconditional(labels: DataFrame, triggers: DataFrame) -> DataFrame:
-    """Over the whole sample: one row per event and label."""
-    names = triggers.select("event").distinct()
-    cells = labels.filter("value is not null").join(names).join(triggers.select("event", "date", "code"), ["event", "date", "code"], "left_anti")
-    return _stats(cells, ["event", "label"])
+    """Over the whole sample: one row per event and label.
+
+    Totals of all cells are taken once, and each event's own cells subtracted. Medians come from counts of distinct values in a
+    range sort: offsets of its partitions tell in which the middle ranks of an event lie, and only these are looked into.
+    """
+    known = labels.filter("value is not null")
+    values = known.groupBy("label", "value").agg(F.count("*").alias("n")).repartitionByRange("label", "value")
+    values = written(values.withColumn("part", F.spark_partition_id()), "control-values")
+    own = known.join(triggers.select("event", "date", "code").distinct(), ["date", "code"]).groupBy("event", "label", "value").agg(F.count("*").alias("m"))
+    own = written(own.join(values.select("label", "value", "part"), ["label", "value"]), "control-own")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    every = values.groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.col("value") * F.col("n")).alias("total"))
+    mine = own.groupBy("event", "label").agg(F.sum("m").alias("m"), F.sum(F.col("value") * F.col("m")).alias("own_total"))
+    names = triggers.agg(F.collect_set("event").alias("events"))  # one row
+    stat = every.join(F.broadcast(names)).select(F.explode("events").alias("event"), "label", "n", "total").join(mine, ["event", "label"], "left")
+    stat = stat.withColumn("left", F.col("n") - count("m")).filter(F.col("left") > 0)
+    stat = stat.select("event", "label", ((F.col("total") - F.coalesce("own_total", F.lit(0.0))) / F.col("left")).alias("control_mean"), F.col("left").alias("control_count"))
+    # which partitions hold the middle ranks, from 0, of what an event leaves
+    sizes = values.groupBy("label", "part").agg(F.sum("n").alias("n")).join(stat.select("event", "label", "control_count"), "label")
+    sizes = sizes.join(own.groupBy("event", "label", "part").agg(F.sum("m").alias("m")), ["event", "label", "part"], "left").withColumn("k", F.col("n") - count("m"))
+    upto = F.sum("k").over(Window.partitionBy("event", "label").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    low, high = F.floor((F.col("control_count") - 1) / 2), F.floor(F.col("control_count") / 2)
+    hit = sizes.withColumn("upto", upto).filter((F.col("upto") > low) & (F.col("upto") - F.col("k") <= high))
+    hit = hit.select("event", "label", "part", "control_count", (F.col("upto") - F.col("k")).alias("before"))
+    fine = hit.join(values, ["label", "part"]).join(own.drop("part"), ["event", "label", "value"], "left").withColumn("k", F.col("n") - count("m"))
+    upto = F.col("before") + F.sum("k").over(Window.partitionBy("event", "label", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    fine = fine.withColumn("upto", upto)
+    at = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("k") <= rank), F.col("value")))
+    middle = fine.groupBy("event", "label").agg(((at(low) + at(high)) / 2).alias("control_median"))
+    return stat.join(middle, ["event", "label"]).select("event", "label", "control_mean", "control_median", "control_count")
 
 
 def stock_history(labels: DataFrame, triggers: DataFrame) -> DataFrame:

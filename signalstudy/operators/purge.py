@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def deduplicate(triggers: DataFrame, cooldown_days: int) -> DataFrame:
+    """purge() with a checked cooldown: an integer of 0 or more."""
+    if type(cooldown_days) is not int:
+        raise TypeError("cooldown_days must be an integer")
+    if cooldown_days < 0:
+        raise ValueError("cooldown_days must not be negative")
+    return purge(triggers, cooldown_days)
+
+
 def purge(triggers: DataFrame, cooldown: int | Column) -> DataFrame:
     """Keep a trigger if it lies more than cooldown rows after the last one kept for its event and code.
 

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def data_signature(panel: DataFrame, columns: list[str]) -> dict:
 def engine_signature(event: Event) -> str:
     """All source of this library's engine, and of the module the event's class is in."""
     root = Path(__file__).resolve().parents[1]
-    parts = [p.read_bytes() for d in ("functions", "operators", "plans") for p in sorted((root / d).glob("*.py"))]
+    parts = [p.read_bytes() for d in ("functions", "operators", "plans", "sources") for p in sorted((root / d).glob("*.py"))]
     parts.append(inspect.getsource(inspect.getmodule(type(event))).encode())
     return hashlib.sha256(b"".join(parts)).hexdigest()
 
@@ -60,7 +61,10 @@ class EventResultCache:
             return None
         if manifest.get("key") != key or manifest.get("schema") != SCHEMA:
             return None
-        return EventStudyResult(**{t: spark.read.parquet(str(entry / t)) for t in manifest["tables"]})
+        try:
+            return EventStudyResult(**{t: spark.read.parquet(str(entry / t)) for t in manifest["tables"]})
+        except (AnalysisException, KeyError, TypeError):  # a table is missing or none that a result has
+            return None
 
     def save(self, key: str, result: EventStudyResult, overwrite: bool = False) -> None:
         """Written beside and renamed, so that a reader never sees half an entry."""
@@ -68,11 +72,17 @@ class EventResultCache:
         if entry.exists() and not overwrite:
             return
         tables = [t for t in TABLES if getattr(result, t) is not None]
-        for t in tables:
-            getattr(result, t).write.parquet(str(temp / t))
-        (temp / "manifest.json").write_text(json.dumps({"schema": SCHEMA, "key": key, "tables": tables}))
-        shutil.rmtree(entry, ignore_errors=True)
-        os.replace(temp, entry)
+        try:
+            for t in tables:
+                getattr(result, t).write.parquet(str(temp / t))
+            (temp / "manifest.json").write_text(json.dumps({"schema": SCHEMA, "key": key, "tables": tables}))
+            old = self.folder / f".{key}-{uuid.uuid4().hex}"
+            if entry.exists():
+                os.replace(entry, old)
+            os.replace(temp, entry)
+            shutil.rmtree(old, ignore_errors=True)
+        finally:
+            shutil.rmtree(temp, ignore_errors=True)
 
 
 def run_cached(panel: DataFrame, events: list[Event], config: EventStudyConfig, cache: EventResultCache, refresh: bool = False, request: dict | None = None, factors: Sequence[str] = ()) -> tuple[EventStudyResult, dict[str, bool]]:

@@ -16,6 +16,7 @@ from ..operators.events import BreakoutVolumeEvent, FactorExtremeEvent, MaBreakE
 from ..operators.labels import labels_long
 from ..operators.purge import purge
 from ..sources.panel import align, lineitem_panel
+from ..sources.store import written
 
 HORIZONS, GAP, BEFORE, AFTER, FEES, HOLD = (1, 3, 5), 3, 3, 5, (0.0, 0.002), (1, 3)
 MODES = controls.MODES
@@ -160,7 +161,10 @@ def kept(panel: DataFrame) -> DataFrame:
 
 
 def observed(panel: DataFrame, modes=MODES) -> DataFrame:
-    return controls.observations(labels_long(panel, HORIZONS), kept(panel), modes, controls.style_buckets(panel, "lncap"))
+    """Observations over tables written once: the panel, its labels and triggers, and what several results read of them."""
+    panel = written(panel, "panel")
+    labels, triggers = written(labels_long(panel, HORIZONS), "labels"), written(kept(panel), "triggers")
+    return written(controls.observations(labels, triggers, modes, controls.style_buckets(panel, "lncap")), "observations")
 
 
 ID = "SELECT date, t, code"
@@ -257,26 +261,26 @@ def _(spark, sf):
 
 @query("ctl_same_date", "SELECT * FROM same", STAT_DOUBLES, HITS, KEPT, LABELS, SAME)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return controls.same_date(labels_long(p, HORIZONS), kept(p))
+    p = written(lineitem_panel(spark, sf), "panel")
+    return controls.same_date(written(labels_long(p, HORIZONS), "labels"), written(kept(p), "triggers"))
 
 
 @query("ctl_same_date_style", "SELECT * FROM styled", STAT_DOUBLES, HITS, KEPT, LABELS, SAME, STYLED)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return controls.same_date_style(labels_long(p, HORIZONS), kept(p), controls.style_buckets(p, "lncap"))
+    p = written(lineitem_panel(spark, sf), "panel")
+    return controls.same_date_style(written(labels_long(p, HORIZONS), "labels"), written(kept(p), "triggers"), controls.style_buckets(p, "lncap"))
 
 
 @query("ctl_unconditional", "SELECT * FROM uncond", STAT_DOUBLES, HITS, KEPT, LABELS, ALL)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return controls.unconditional(labels_long(p, HORIZONS), kept(p))
+    p = written(lineitem_panel(spark, sf), "panel")
+    return controls.unconditional(written(labels_long(p, HORIZONS), "labels"), written(kept(p), "triggers"))
 
 
 @query("ctl_stock_history", "SELECT e.event, l.label, e.date, e.code, h.control_mean, h.control_median, coalesce(h.control_count,0) AS control_count FROM ev e CROSS JOIN (SELECT DISTINCT label FROM labels) l LEFT JOIN hist h ON h.event=e.event AND h.label=l.label AND h.date=e.date AND h.code=e.code", STAT_DOUBLES, HITS, KEPT, LABELS, HIST)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return controls.stock_history(labels_long(p, HORIZONS), kept(p))
+    p = written(lineitem_panel(spark, sf), "panel")
+    return controls.stock_history(written(labels_long(p, HORIZONS), "labels"), written(kept(p), "triggers"))
 
 
 RESID = """fit AS (SELECT l.label, l.date, regr_slope(value, lncap) b, regr_avgx(value, lncap) ax, regr_avgy(value, lncap) ay, regr_count(value, lncap) n FROM labels l JOIN panel p ON p.date=l.date AND p.code=l.code GROUP BY 1,2),
@@ -296,20 +300,20 @@ def _(spark, sf):
 
 @query("event_paths", "SELECT * FROM ep", "value", HITS, KEPT, PATHS)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return paths.event_paths(kept(p), p, BEFORE, AFTER)
+    p = written(lineitem_panel(spark, sf), "panel")
+    return paths.event_paths(written(kept(p), "triggers"), p, BEFORE, AFTER)
 
 
 @query("path_controls", "SELECT * FROM pc", "control_mean", HITS, KEPT, PATHS)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return paths.path_controls(kept(p), p, BEFORE, AFTER)
+    p = written(lineitem_panel(spark, sf), "panel")
+    return paths.path_controls(written(kept(p), "triggers"), p, BEFORE, AFTER)
 
 
 @query("path_observations", "SELECT * FROM po", "value control_mean", HITS, KEPT, PATHS)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return paths.path_observations(kept(p), p, BEFORE, AFTER)
+    p = written(lineitem_panel(spark, sf), "panel")
+    return paths.path_observations(written(kept(p), "triggers"), p, BEFORE, AFTER)
 
 
 PATH_SUMMARY = 'SELECT event, "offset", AVG(value) mean, MEDIAN(value) median, quantile_cont(value,0.25) p25, quantile_cont(value,0.75) p75, AVG(control_mean) control_mean, AVG(value)-AVG(control_mean) excess_mean FROM po GROUP BY 1,2'
@@ -317,8 +321,8 @@ PATH_SUMMARY = 'SELECT event, "offset", AVG(value) mean, MEDIAN(value) median, q
 
 @query("path_summary", PATH_SUMMARY, "mean median p25 p75 control_mean excess_mean", HITS, KEPT, PATHS)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return paths.path_summary(paths.path_observations(kept(p), p, BEFORE, AFTER))
+    p = written(lineitem_panel(spark, sf), "panel")
+    return paths.path_summary(paths.path_observations(written(kept(p), "triggers"), p, BEFORE, AFTER))
 
 
 @query("summary_stats", f"SELECT {SUMMARY_COLUMNS} FROM obs GROUP BY 1,2,3", SUMMARY_DOUBLES, HITS, KEPT, OBS)
@@ -416,40 +420,40 @@ def _(spark, sf):
 
 @query("bt_active_positions", "SELECT event, horizon, date, t, code FROM held WHERE active", "", HITS, KEPT, HOLDS)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return backtest.positions(p, kept(p), HOLD).filter("active").select("event", "horizon", "date", "t", "code")
+    p = written(lineitem_panel(spark, sf), "panel")
+    return backtest.positions(p, written(kept(p), "triggers"), HOLD).filter("active").select("event", "horizon", "date", "t", "code")
 
 
 @query("bt_weights", "SELECT event, horizon, date, t, code, weight, before FROM wt WHERE weight>0 OR before>0", "weight before", HITS, KEPT, HOLDS)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return backtest.weights(backtest.positions(p, kept(p), HOLD)).filter("weight > 0 or before > 0").select("event", "horizon", "date", "t", "code", "weight", "before")
+    p = written(lineitem_panel(spark, sf), "panel")
+    return backtest.weights(backtest.positions(p, written(kept(p), "triggers"), HOLD)).filter("weight > 0 or before > 0").select("event", "horizon", "date", "t", "code", "weight", "before")
 
 
 @query("bt_daily", "SELECT * FROM daily", DAILY_DOUBLES, HITS, KEPT, DAILY)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return backtest.run_grid(p, kept(p), HOLD, FEES, 12)[0]
+    p = written(lineitem_panel(spark, sf), "panel")
+    return backtest.run_grid(p, written(kept(p), "triggers"), HOLD, FEES, 12)[0]
 
 
 @query("bt_metrics", "SELECT * FROM metrics", METRIC_DOUBLES, HITS, KEPT, DAILY, METRICS)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return backtest.run_grid(p, kept(p), HOLD, FEES, 12)[1]
+    p = written(lineitem_panel(spark, sf), "panel")
+    return backtest.run_grid(p, written(kept(p), "triggers"), HOLD, FEES, 12)[1]
 
 
 @query("bt_grid", "SELECT event, horizon, fee_rate, total_return, sharpe, max_drawdown, excess_total_return FROM metrics", "fee_rate total_return sharpe max_drawdown excess_total_return", HITS, KEPT, DAILY, METRICS)
 def _(spark, sf):
-    p = lineitem_panel(spark, sf)
-    return backtest.run_grid(p, kept(p), HOLD, FEES, 12)[1].select("event", "horizon", "fee_rate", "total_return", "sharpe", "max_drawdown", "excess_total_return")
+    p = written(lineitem_panel(spark, sf), "panel")
+    return backtest.run_grid(p, written(kept(p), "triggers"), HOLD, FEES, 12)[1].select("event", "horizon", "fee_rate", "total_return", "sharpe", "max_drawdown", "excess_total_return")
 
 
 @query("recent_events", f"SELECT s.event, strftime(s.date,'%Y-%m-%d') AS date, s.code, p.close, {', '.join(f'MAX(CASE WHEN horizon={h} THEN value END) AS ret_{h}d' for h in HORIZONS)} FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY date DESC, code DESC) k FROM ev) s JOIN panel p ON p.date=s.date AND p.code=s.code JOIN labels l ON l.date=s.date AND l.code=s.code WHERE k<=30 GROUP BY 1,2,3,4", "close " + " ".join(f"ret_{h}d" for h in HORIZONS), HITS, KEPT, LABELS)
 def _(spark, sf):
     from .study import recent_events
 
-    p = lineitem_panel(spark, sf)
-    return recent_events(kept(p), p, labels_long(p, HORIZONS), HORIZONS)
+    p = written(lineitem_panel(spark, sf), "panel")
+    return recent_events(written(kept(p), "triggers"), p, labels_long(p, HORIZONS), HORIZONS)
 
 
 @query("histogram", "SELECT o.event, o.label, CAST(least(49, floor((event_value-lo)/nullif(hi-lo,0)*50)) AS INT) bin, COUNT(*) n FROM obs o JOIN (SELECT event, label, MIN(event_value) lo, MAX(event_value) hi FROM obs WHERE mode='same_date' GROUP BY 1,2) r ON r.event=o.event AND r.label=o.label WHERE mode='same_date' GROUP BY 1,2,3", "", HITS, KEPT, OBS)

@@ -25,20 +25,24 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
         p.add_argument(f"--{name.replace('_', '-')}", default=run.get(name))
     for name in ("horizons", "label_types", "control_modes", "backtest_fees"):
         p.add_argument(f"--{name.replace('_', '-')}", nargs="*", type=int if name == "horizons" else float if name == "backtest_fees" else str, default=run.get(name))
-    for name in ("bootstrap", "min_events", "style_bins", "purge_days", "report_max_rows", "annualization", "window_before", "window_after"):
+    for name in ("bootstrap", "n_jobs", "min_events", "style_bins", "purge_days", "report_max_rows", "annualization", "window_before", "window_after"):
         p.add_argument(f"--{name.replace('_', '-')}", type=int, default=run.get(name))
     for name in ("significance_level", "risk_free_rate"):
         p.add_argument(f"--{name.replace('_', '-')}", type=float, default=run.get(name))
-    for name in ("residualize_styles", "use_gpu", "use_cache", "refresh_cache"):
+    for name in ("residualize_styles", "show_progress", "use_gpu", "use_cache", "refresh_cache"):
         p.add_argument(f"--{name.replace('_', '-')}", action=argparse.BooleanOptionalAction, default=run.get(name, False))
-    return p.parse_args(argv)
+    args = p.parse_args(argv)
+    if args.n_jobs is not None and args.n_jobs < 1:
+        p.error("--n-jobs must be 1 or more")
+    return args
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parse(argv)
     events = config.load_events(args.config)
     study = config.study_config({k: v for k, v in vars(args).items() if v is not None})
-    spark = SparkSession.builder.appName("signalstudy").getOrCreate()
+    # n_jobs has no effect: Spark runs the tasks of all events side by side
+    spark = SparkSession.builder.appName("signalstudy").config("spark.ui.showConsoleProgress", str(bool(args.show_progress)).lower()).getOrCreate()
     where = {"codes": args.codes, "start": args.start, "end": args.end}
     panel = source.load_market_panel(spark, args.data, source.required_collections(events), **where)
     panel = source.add_columns(panel, {n: source.load_field(spark, args.data, s, n, **where) for n, s in source.required_factors(events).items()})

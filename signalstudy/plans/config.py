@@ -6,7 +6,9 @@ import importlib
 import math
 from pathlib import Path
 
-from ..operators.events import Event
+from ..operators.controls import MODES
+from ..operators.events import BreakoutVolumeEvent, Event, MaBreakEvent, VolumeStallEvent
+from ..operators.labels import TYPES
 from .study import EventStudyConfig
 
 RUN_KEYS = frozenset(
@@ -96,8 +98,39 @@ def load_events(path: str | Path) -> list[Event]:
     return events
 
 
+#: What a run key may hold besides null: a test and how to say it.
+_number = lambda v: type(v) in (int, float)
+_RULES = {
+    "codes horizons label_types control_modes backtest_fees": (lambda v: isinstance(v, list), "a list"),
+    "residualize_styles show_progress use_gpu use_cache refresh_cache": (lambda v: isinstance(v, bool), "true or false"),
+    "bootstrap style_bins purge_days n_jobs report_max_rows annualization window_before window_after min_events min_controls seed": (lambda v: type(v) is int, "an integer"),
+    "start end output_dir style_name cache_dir": (lambda v: isinstance(v, str), "a string"),
+    "significance_level": (lambda v: _number(v) and 0 < v < 1, "a number between 0 and 1"),
+    "risk_free_rate": (_number, "a number"),
+    "backtest_fees": (lambda v: all(_number(f) and f >= 0 for f in v), "a list of numbers of 0 or more"),
+    "horizons": (lambda v: all(type(h) is int and h > 0 for h in v), "a list of positive integers"),
+    "label_types": (lambda v: not v or "ret" in v and set(v) <= set(TYPES), "a list of ret, mfe and mae, with ret"),
+    "control_modes": (lambda v: set(v) <= set(MODES), f"a list of {', '.join(MODES)}"),
+}
+
+
 def load_run(path: str | Path) -> dict:
-    return dict(_only_keys(load(path).get("run") or {}, RUN_KEYS, "run"))
+    """The run section, its keys and values checked; null stands for the default."""
+    run = dict(_only_keys(load(path).get("run") or {}, RUN_KEYS, "run"))
+    for keys, (holds, wanted) in _RULES.items():
+        for key in keys.split():
+            if run.get(key) is not None and not holds(run[key]):
+                raise EventConfigError(f"run.{key} must be {wanted}")
+    return run
+
+
+def default_events() -> list[Event]:
+    return [MaBreakEvent(), VolumeStallEvent(), BreakoutVolumeEvent()]
+
+
+def select_events(path: str | Path | None = None) -> list[Event]:
+    """The events of a configuration, or without one the default events."""
+    return default_events() if path is None else load_events(path)
 
 
 def study_config(run: dict) -> EventStudyConfig:

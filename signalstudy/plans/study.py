@@ -12,6 +12,7 @@ from ..operators import backtest, controls, factors, inference, paths
 from ..operators.events import Event, EventMeta, as_triggers, detect, meta_frame
 from ..operators.labels import label_types, labels_long
 from ..operators.purge import purge
+from ..sources.store import written
 
 
 @dataclass(frozen=True)
@@ -114,19 +115,21 @@ class EventStudyRunner:
         if c.use_gpu:
             print("use_gpu has no effect: the bootstrap runs on executors")
         meta = meta_frame(spark, list(metas.values()), c.purge_days)
-        triggers = self.triggers().persist()
-        raw = labels_long(panel, c.horizons, c.label_types)
+        # what several results read is written once
+        panel = written(panel, "study-panel")
+        triggers = written(self.triggers(), "study-triggers")
+        raw = written(labels_long(panel, c.horizons, c.label_types), "study-labels")
         styled = c.style_name in panel.columns
-        labels = controls.residualize(raw, panel, [c.style_name]) if c.residualize_styles and styled else raw
+        labels = written(controls.residualize(raw, panel, [c.style_name]), "study-labels") if c.residualize_styles and styled else raw
         buckets = controls.style_buckets(panel, c.style_name, c.style_bins) if styled else None
-        obs = controls.observations(labels, triggers, c.control_modes, buckets, c.min_controls)
+        obs = written(controls.observations(labels, triggers, c.control_modes, buckets, c.min_controls), "study-observations")
         names = [f"{k}_{h}d" for k in label_types(c.label_types) for h in c.horizons]
         horizon = {f"{k}_{h}d": int(h) for k in label_types(c.label_types) for h in c.horizons}
         grid = spark.createDataFrame([(e, n, m) for e in metas for n in names for m in c.control_modes], "event string, label string, mode string")
         info = meta.select("event", "direction", "description")
         s = inference.summarize(obs, grid).join(inference.bootstrap(obs, c.n_bootstrap, c.seed), inference.KEYS, "left").join(inference.stability(obs, meta), inference.KEYS, "left")
         s = s.join(F.broadcast(info), "event").withColumn("horizon", F.create_map(*[F.lit(x) for kv in horizon.items() for x in kv])[F.col("label")])
-        s = s.na.fill(0.0, ["bootstrap_clusters", "evaluated_years"]).withColumn("residualized", F.lit(c.residualize_styles)).withColumn("bootstrap_method", F.lit("date_cluster"))
+        s = s.na.fill(0.0, ["bootstrap_clusters", "evaluated_years"]).withColumn("residualized", F.lit(c.residualize_styles)).withColumn("bootstrap_method", F.lit(inference.BOOTSTRAP_METHOD))
         summary = inference.assess(inference.bh_fdr(inference.directed(s)), c.significance_level, c.min_events)
         observed = paths.path_observations(triggers, panel, c.window_before, c.window_after)
         groups = group_summaries(panel, self.factors, raw)

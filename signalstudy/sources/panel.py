@@ -34,6 +34,10 @@ def read_field(source: DataFrame, name: str, codes: Iterable[str] | None = None,
 
     Codes and date range reach the scan; values that are no numbers and NaN become null.
     """
+    if dict(source.dtypes)["date"] in ("string", "int", "bigint"):  # stored as yyyyMMdd: the range reaches the scan as it is
+        like = F.lit if dict(source.dtypes)["date"] == "string" else lambda day: F.lit(int(day))
+        source = source.filter(F.col("date") >= like(start)) if start else source
+        source = source.filter(F.col("date") <= like(end)) if end else source
     date = F.col("date") if dict(source.dtypes)["date"] in ("date",) else F.col("date").cast("date") if dict(source.dtypes)["date"].startswith("timestamp") else parse_date(F.col("date"))
     if "code" in source.columns:
         value = next(c for c in source.columns if c not in ("date", "code"))
@@ -98,7 +102,7 @@ def required_factors(events) -> dict[str, str]:
     """Factor name to source over all events; each is read once, and two sources for one name raise."""
     out: dict[str, str] = {}
     for e in events:
-        for name, source in e.required_factors.items():
+        for name, source in e.factor_sources().items():
             if out.setdefault(name, source) != source:
                 raise ValueError(f"factor {name} is declared as both {out[name]} and {source}")
     return out

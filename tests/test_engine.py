@@ -161,7 +161,7 @@ def test_events_and_config(tmp_path):
         EventMeta("a..b")
     f = lambda s: FactorExtremeEvent("q", s)
     with pytest.raises(ValueError, match="declared as both"):
-        required_factors([f("a"), f("b")])
+        required_factors([f("store/a"), f("store/b")])
     path = tmp_path / "c.yaml"
     path.write_text("version: 1\nevents:\n  - {class: ma_break, event_name: One}\n  - {class: nothing, enabled: false}\n")
     events = config.load_events(path)
@@ -281,3 +281,84 @@ def test_catalogue_against_sql(spark, name):
             assert a[c].tolist() == b[c].tolist()
         else:
             assert np.allclose(a[c].astype(float), b[c].astype(float), equal_nan=True, atol=1e-5)
+
+
+def test_package_names():
+    import signalstudy
+
+    assert all(hasattr(signalstudy, n) for n in signalstudy.__all__) and signalstudy.BUILTIN_EVENT_CLASSES["ma_break"] is MaBreakEvent
+    assert [e.name for e in signalstudy.select_events()] == ["ma20_break_after_trend", "volume_stall_near_high", "volume_breakout"]
+
+
+def test_event_parameters():
+    assert MaBreakEvent(trend_return_threshold=-0.1).trend_return_threshold == -0.1 and MaBreakEvent(trend_return_threshold=0).trend_return_threshold == 0.0
+    for bad, error in ((dict(trend_return_threshold=float("nan")), ValueError), (dict(trend_return_threshold=True), TypeError), (dict(ma_window=0), ValueError), (dict(ma_window=2.0), TypeError)):
+        with pytest.raises(error):
+            MaBreakEvent(**bad)
+    first = MaBreakEvent()
+    assert first.renamed("other").name == "other" and first.name == "ma20_break_after_trend"
+    assert FactorExtremeEvent("q", "store/q").name == "q_high_ts_pct_0.80" and FactorExtremeEvent("q", "store/q").factor_sources() == {"q": "store/q"}
+    for name, source in (("q", "q"), ("q", "a/b/c"), ("q", "/b"), (" q", "a/b"), ("q", "a/b ")):
+        with pytest.raises(ValueError):
+            FactorExtremeEvent(name, source).factor_sources()
+
+
+@pytest.mark.parametrize("bad", ["horizons: 5", "horizons: [0]", "codes: A", "use_cache: 1", "bootstrap: 2.5", "start: 20130101", "significance_level: 1", "risk_free_rate: x", "backtest_fees: [-0.1]", "label_types: [mfe]", "control_modes: [none]"])
+def test_run_values(tmp_path, bad):
+    path = tmp_path / "c.yaml"
+    path.write_text(f"version: 1\nrun: {{{bad}}}\nevents: [{{class: ma_break}}]\n")
+    with pytest.raises(config.EventConfigError):
+        config.load_run(path)
+    path.write_text("version: 1\nrun: {horizons: [1, 3], codes: null, start: '20130101', n_jobs: 2}\nevents: [{class: ma_break}]\n")
+    assert config.load_run(path)["horizons"] == [1, 3]
+
+
+def test_deduplicate(spark):
+    from signalstudy.operators.purge import deduplicate
+
+    x = spark.createDataFrame([("e", "A", t, dt.date(2024, 1, 1 + t)) for t in (1, 2, 4)], "event string, code string, t long, date date")
+    assert sorted(r.t for r in deduplicate(x, 2).collect()) == [1, 4] and deduplicate(x, 0).count() == 3
+    for bad, error in ((True, TypeError), (1.0, TypeError), (-1, ValueError)):
+        with pytest.raises(error):
+            deduplicate(x, bad)
+
+
+def test_controls_by_force(spark):
+    """Whole-sample medians by rank offsets, and path controls by subtraction, against plain numpy."""
+    rng = np.random.default_rng(3)
+    close = np.round(np.exp(np.cumsum(rng.normal(0, 0.02, (40, 9)), 0)) * 10, 1)
+    close[rng.random(close.shape) < 0.05] = np.nan
+    panel = panel_of(spark, {f"c{k}": [None if np.isnan(v) else v for v in close[:, k]] for k in range(9)})
+    cells = [(int(t), f"c{k}") for t, k in zip(rng.integers(0, 40, 60), rng.integers(0, 9, 60))]
+    triggers = triggers_of(spark, panel, sorted(set(cells[:35])), "e").unionByName(triggers_of(spark, panel, sorted(set(cells[35:])), "f"))
+    labels = labels_long(panel, [1, 3])
+    got = {(r.event, r.label): r for r in controls.unconditional(labels, triggers).collect()}
+    for event, own in (("e", set(cells[:35])), ("f", set(cells[35:]))):
+        for h in (1, 3):
+            ret = close[h:] / close[:-h] - 1
+            left = [ret[t, k] for t in range(40 - h) for k in range(9) if (t, f"c{k}") not in own and not np.isnan(ret[t, k])]
+            r = got[event, f"ret_{h}d"]
+            assert r.control_count == len(left) and np.isclose(r.control_mean, np.mean(left)) and np.isclose(r.control_median, np.median(left))
+        found = {(r.date, r.offset): r for r in paths.path_controls(triggers.filter(F.col("event") == event), panel, 2, 3).collect()}
+        days = sorted({r.date for r in panel.select("date").collect()})
+        for t in {t for t, k in own if 2 <= t <= 36 and not np.isnan(close[t, int(k[1:])])}:
+            for off in range(-2, 4):
+                left = [close[t + off, k] / close[t, k] - 1 for k in range(9) if (t, f"c{k}") not in own and not np.isnan(close[t, k]) and not np.isnan(close[t + off, k])]
+                r = found[days[t], off]
+                assert r.control_count == len(left) and (not left or np.isclose(r.control_mean, np.mean(left), atol=1e-12))
+
+
+def test_broken_cache_entry(spark, tmp_path):
+    from signalstudy.plans.cache import SCHEMA, EventResultCache
+
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k" / "manifest.json").write_text(json.dumps({"schema": SCHEMA, "key": "k", "tables": ["triggers"]}))
+    assert EventResultCache(str(tmp_path)).load(spark, "k") is None
+
+
+def test_bootstrap_two_sample_guards():
+    assert np.isnan(inference.bootstrap_two_sample([], [1.0])["observed"])
+    none = inference.bootstrap_two_sample([1.0, float("nan")], [0.5, 0.0], repeats=0)
+    assert none["observed"] == 0.75 and np.isnan(none["p_value"])
+    some = inference.bootstrap_two_sample(np.full(40, 1.0), np.linspace(-1, 1, 50), 400)
+    assert some["p_value"] == 1 / 401 and some["ci_low"] < some["observed"] == 1.0 < some["ci_high"]
