@@ -51,7 +51,7 @@ def unconditional(labels: DataFrame, triggers: DataFrame) -> DataFrame:
     values = known.groupBy("label", "value").agg(F.count("*").alias("n")).repartitionByRange("label", "value")
     values = written(values.withColumn("part", F.spark_partition_id()), "control-values")
     own = known.join(triggers.select("event", "date", "code").distinct(), ["date", "code"]).groupBy("event", "label", "value").agg(F.count("*").alias("m"))
-    own = written(own.join(values.select("label", "value", "part"), ["label", "value"]), "control-own")
+    own = own.join(values.select("label", "value", "part"), ["label", "value"])
     count = lambda c: F.coalesce(c, F.lit(0))
     every = values.groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.col("value") * F.col("n")).alias("total"))
     mine = own.groupBy("event", "label").agg(F.sum("m").alias("m"), F.sum(F.col("value") * F.col("m")).alias("own_total"))

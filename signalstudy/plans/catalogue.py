@@ -16,7 +16,7 @@ from ..operators.events import BreakoutVolumeEvent, FactorExtremeEvent, MaBreakE
 from ..operators.labels import labels_long
 from ..operators.purge import purge
 from ..sources.panel import align, lineitem_panel
-from ..sources.store import written
+from ..sources.store import all_written, written
 
 HORIZONS, GAP, BEFORE, AFTER, FEES, HOLD = (1, 3, 5), 3, 3, 5, (0.0, 0.002), (1, 3)
 MODES = controls.MODES
@@ -161,10 +161,10 @@ def kept(panel: DataFrame) -> DataFrame:
 
 
 def observed(panel: DataFrame, modes=MODES) -> DataFrame:
-    """Observations over tables written once: the panel, its labels and triggers, and what several results read of them."""
+    """Observations over tables written once: the panel, its labels and triggers."""
     panel = written(panel, "panel")
-    labels, triggers = written(labels_long(panel, HORIZONS), "labels"), written(kept(panel), "triggers")
-    return written(controls.observations(labels, triggers, modes, controls.style_buckets(panel, "lncap")), "observations")
+    labels, triggers = all_written((labels_long(panel, HORIZONS), "labels"), (kept(panel), "triggers"))
+    return controls.observations(labels, triggers, modes, controls.style_buckets(panel, "lncap"))
 
 
 ID = "SELECT date, t, code"
@@ -262,25 +262,25 @@ def _(spark, sf):
 @query("ctl_same_date", "SELECT * FROM same", STAT_DOUBLES, HITS, KEPT, LABELS, SAME)
 def _(spark, sf):
     p = written(lineitem_panel(spark, sf), "panel")
-    return controls.same_date(written(labels_long(p, HORIZONS), "labels"), written(kept(p), "triggers"))
+    return controls.same_date(*all_written((labels_long(p, HORIZONS), "labels"), (kept(p), "triggers")))
 
 
 @query("ctl_same_date_style", "SELECT * FROM styled", STAT_DOUBLES, HITS, KEPT, LABELS, SAME, STYLED)
 def _(spark, sf):
     p = written(lineitem_panel(spark, sf), "panel")
-    return controls.same_date_style(written(labels_long(p, HORIZONS), "labels"), written(kept(p), "triggers"), controls.style_buckets(p, "lncap"))
+    return controls.same_date_style(*all_written((labels_long(p, HORIZONS), "labels"), (kept(p), "triggers")), controls.style_buckets(p, "lncap"))
 
 
 @query("ctl_unconditional", "SELECT * FROM uncond", STAT_DOUBLES, HITS, KEPT, LABELS, ALL)
 def _(spark, sf):
     p = written(lineitem_panel(spark, sf), "panel")
-    return controls.unconditional(written(labels_long(p, HORIZONS), "labels"), written(kept(p), "triggers"))
+    return controls.unconditional(*all_written((labels_long(p, HORIZONS), "labels"), (kept(p), "triggers")))
 
 
 @query("ctl_stock_history", "SELECT e.event, l.label, e.date, e.code, h.control_mean, h.control_median, coalesce(h.control_count,0) AS control_count FROM ev e CROSS JOIN (SELECT DISTINCT label FROM labels) l LEFT JOIN hist h ON h.event=e.event AND h.label=l.label AND h.date=e.date AND h.code=e.code", STAT_DOUBLES, HITS, KEPT, LABELS, HIST)
 def _(spark, sf):
     p = written(lineitem_panel(spark, sf), "panel")
-    return controls.stock_history(written(labels_long(p, HORIZONS), "labels"), written(kept(p), "triggers"))
+    return controls.stock_history(*all_written((labels_long(p, HORIZONS), "labels"), (kept(p), "triggers")))
 
 
 RESID = """fit AS (SELECT l.label, l.date, regr_slope(value, lncap) b, regr_avgx(value, lncap) ax, regr_avgy(value, lncap) ay, regr_count(value, lncap) n FROM labels l JOIN panel p ON p.date=l.date AND p.code=l.code GROUP BY 1,2),

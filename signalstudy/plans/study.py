@@ -12,7 +12,7 @@ from ..operators import backtest, controls, factors, inference, paths
 from ..operators.events import Event, EventMeta, as_triggers, detect, meta_frame
 from ..operators.labels import label_types, labels_long
 from ..operators.purge import purge
-from ..sources.store import written
+from ..sources.store import all_written, written
 
 
 @dataclass(frozen=True)
@@ -98,10 +98,12 @@ class EventStudyRunner:
     def metas(self) -> dict[str, EventMeta]:
         return {**{n: EventMeta(n) for n in self.event_matrices}, **{e.name: e.meta for e in self.events}, **self.event_meta}
 
-    def triggers(self) -> DataFrame:
-        parts = [as_triggers(df, self.panel, n) for n, df in self.event_matrices.items()]
+    def triggers(self, panel: DataFrame | None = None) -> DataFrame:
+        """Purged triggers of all events; panel may be a written copy of the runner's own."""
+        panel = self.panel if panel is None else panel
+        parts = [as_triggers(df, panel, n) for n, df in self.event_matrices.items()]
         made = [e for e in self.events if e.name not in self.event_matrices]
-        parts += [detect(self.panel, made)] if made else []
+        parts += [detect(panel, made)] if made else []
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -117,8 +119,7 @@ class EventStudyRunner:
         meta = meta_frame(spark, list(metas.values()), c.purge_days)
         # what several results read is written once
         panel = written(panel, "study-panel")
-        triggers = written(self.triggers(), "study-triggers")
-        raw = written(labels_long(panel, c.horizons, c.label_types), "study-labels")
+        triggers, raw = all_written((self.triggers(panel), "study-triggers"), (labels_long(panel, c.horizons, c.label_types), "study-labels"))
         styled = c.style_name in panel.columns
         labels = written(controls.residualize(raw, panel, [c.style_name]), "study-labels") if c.residualize_styles and styled else raw
         buckets = controls.style_buckets(panel, c.style_name, c.style_bins) if styled else None
