@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -171,14 +172,19 @@ class Transducer:
         top = max([float(np.finfo(np.float32).tiny), *known])
         self.unknown_score = float(np.float32(min(known, default=0.0)) - np.float32(10.0))
         self.arc_score = [s if k != USER_DEFINED else len(p.encode()) * top - 0.1 for p, s, k in zip(self.pieces, scores, self.kinds)]
-        # a BPE piece that its own merges don't give is on no path
+        # a BPE piece that its own merges don't give is on no path; of the others the last merge is kept
+        self.halves: dict[str, tuple[str, str]] = {}
         for p, i in (self.id_of if self.bpe else self.id_of | own).items():
-            if not self.bpe or len(p) == 1 or self._merge(p) == [p]:
+            if not self.bpe or len(p) == 1 or self._derive(p):
                 node = self.arcs
                 for c in p:
                     node = node.setdefault(c, {})
                 node[None] = i
-        self.kind = np.dtype("<u2" if len(self.pieces) <= 1 << 16 else "<u4")
+        better = lambda p, q: p not in self.halves or self.score[self.id_of[p]] >= self.score[self.id_of[q]]
+        self.in_order = all(better(p, q) for q, parts in self.halves.items() for p in parts)
+        self.spines: dict[tuple[str, int], list[str]] = {}
+        self.code = "H" if len(self.pieces) <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
         self.pairs: dict = {}
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -245,48 +251,106 @@ class Transducer:
             at = end[at]
         return out
 
+    def _derive(self, piece: str) -> bool:
+        """Whether a piece's own merges give it; its last merge is kept."""
+        parts, ids, score = list(piece), self.id_of, self.score
+        while len(parts) > 1:
+            best, where = None, -1
+            for k in range(len(parts) - 1):
+                i = ids.get(parts[k] + parts[k + 1])
+                if i is not None and (best is None or score[i] > best):
+                    best, where = score[i], k
+            if best is None:
+                return False
+            if len(parts) == 2:
+                self.halves[piece] = parts[0], parts[1]
+            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        return True
+
+    def _spine(self, piece: str, side: int) -> list[str]:
+        """The parts of a piece at its left (0) or right (1) end as its merges make them, the first character first."""
+        out = self.spines.get((piece, side))
+        if out is None:
+            out, part = [piece], piece
+            while part in self.halves:
+                part = self.halves[part][side]
+                out.append(part)
+            out = self.spines[piece, side] = out[::-1]
+        return out
+
     def _weight(self, a: str, b: str) -> float:
-        """Of the arc from piece a to piece b in the context acceptor."""
-        return 0.0 if self._merge(a + b) == [a, b] else INF
+        """Of the arc from piece a to piece b in the context acceptor.
+
+        Where scores fall with every merge, only what lies at the border of the two can join them: the parts there grow in the order of
+        their scores (leftmost of equals), and the arc is finite unless a merge across the border comes first.
+        """
+        if not self.in_order:
+            return 0.0 if self._merge(a + b) == [a, b] else INF
+        left, right, ids, score = self._spine(a, 1), self._spine(b, 0), self.id_of, self.score
+        i = j = 0
+        while True:
+            across = ids.get(left[i] + right[j])
+            grow_left = score[ids[left[i + 1]]] if i + 1 < len(left) else -INF
+            grow_right = score[ids[right[j + 1]]] if j + 1 < len(right) else -INF
+            if across is not None and score[across] > grow_left and score[across] >= grow_right:
+                return INF
+            if grow_left == grow_right == -INF:
+                return 0.0
+            if grow_left >= grow_right:
+                i += 1
+            else:
+                j += 1
+
+    def _arcs_at(self, text: str, i: int) -> list[tuple[int, int]]:
+        """Ends and pieces of the lexicon's arcs from a position, shortest first; without one of a character, its fallback."""
+        node, j, n, out = self.arcs, i, len(text), []
+        while j < n:
+            node = node.get(text[j])
+            j += 1
+            if node is None:
+                break
+            piece = node.get(None)
+            if piece is not None:
+                out.append((j, piece))
+        if not out or out[0][0] > i + 1:
+            out.insert(0, (i + 1, -1 - ord(text[i])))
+        return out
 
     def _path_bpe(self, text: str) -> list[int]:
-        """Ids along the one path of finite weight; a negative id is a character without a piece, as -1 - code point."""
-        n, arcs, pairs = len(text), self.arcs, self.pairs
-        back: list = [None] * (n + 1)  # (start, id) of the last arc of the only finite path to a position
-        back[0] = (-1, None)
-        for i in range(n):
-            if back[i] is None:
-                continue
-            last = back[i][1]
-            node, j = arcs, i
-            while j < n:
-                node = node.get(text[j])
-                j += 1
-                if node is None:
-                    if j == i + 1:
-                        piece = -1 - ord(text[i])
-                        if back[j] is None and (last is None or self._finite(last, piece, text, back[i][0], i, j)):
-                            back[j] = (i, piece)
+        """Ids along the one path of finite weight; a negative id is a character without a piece, as -1 - code point.
+
+        Longest arcs are tried first. Only one path of finite weight leads to a position, so one from which the end
+        can't be reached is never tried again.
+        """
+        n, pairs, dead = len(text), self.pairs, set()
+        at, last, path, starts, todo = 0, None, [], [], [self._arcs_at(text, 0)]
+        while todo:
+            arcs = todo[-1]
+            while arcs:
+                j, piece = arcs.pop()
+                if j in dead:
+                    continue
+                if last is None:
                     break
-                piece = node.get(None)
-                if piece is None:
-                    if j == i + 1:
-                        piece = -1 - ord(text[i])
-                    else:
-                        continue
-                if back[j] is None:
-                    ok = True if last is None else pairs.get(last << 32 ^ piece)
-                    if ok is None:
-                        ok = self._finite(last, piece, text, back[i][0], i, j)
-                    if ok:
-                        back[j] = (i, piece)
-        if back[n] is None:  # merges that tie outside runs of spaces
-            return [self.id_of[p] if p in self.id_of else -1 - ord(p) for p in self._merge(text)]
-        out, at = [], n
-        while at > 0:
-            at, piece = back[at]
-            out.append(piece)
-        return out[::-1]
+                ok = pairs.get(last << 32 ^ piece)
+                if ok or ok is None and self._finite(last, piece, text, starts[-1], at, j):
+                    break
+            else:
+                dead.add(at)
+                todo.pop()
+                if path:
+                    path.pop()
+                    at = starts.pop()
+                    last = path[-1] if path else None
+                continue
+            path.append(piece)
+            if j == n:
+                return path
+            starts.append(at)
+            at, last = j, piece
+            todo.append(self._arcs_at(text, j))
+        # merges that tie outside runs of spaces
+        return [self.id_of[p] if p in self.id_of else -1 - ord(p) for p in self._merge(text)]
 
     def _finite(self, last: int, piece: int, text: str, start: int, i: int, j: int) -> bool:
         key = last << 32 ^ piece
@@ -343,6 +407,8 @@ class Transducer:
             return packed
         if not self.bpe:
             path = self._path_unigram(text)
+        elif text in self.halves:  # the path of one arc
+            path = [self.id_of[text]]
         elif SPACE * 2 in text:
             path = [self.id_of[p] if p in self.id_of else -1 - ord(p) for p in self._merge(text)]
         else:
@@ -353,7 +419,7 @@ class Transducer:
                 ids.append(p)
             else:
                 ids += self._spell(p)
-        packed = np.asarray(ids, self.kind).tobytes()
+        packed = array(self.code, ids).tobytes()
         if len(text) <= 64:
             self._keep(text, packed)
         return packed
