@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import change, lag, prior_high, rolling_mean, rolling_percentile, rolling_zscore
 from ..operators import backtest, controls, factors, inference, paths
-from ..operators.events import BreakoutVolumeEvent, FactorExtremeEvent, MaBreakEvent, VolumeStallEvent, as_triggers, detect, meta_frame
+from ..operators.events import BreakoutVolumeEvent, EventMeta, FactorExtremeEvent, MaBreakEvent, VolumeStallEvent, as_triggers, detect, meta_frame
 from ..operators.labels import labels_long
 from ..operators.purge import purge
-from ..sources.panel import align, lineitem_panel
+from ..sources.panel import add_columns, align, lineitem_panel, read_field
 from ..sources.store import all_written, written
 
 HORIZONS, GAP, BEFORE, AFTER, FEES, HOLD = (1, 3, 5), 3, 3, 5, (0.0, 0.002), (1, 3)
@@ -188,6 +188,29 @@ def _(spark, sf):
     return lineitem_panel(spark, sf).select("date", "t", "code", "close", "factor", "lncap")
 
 
+@query("read_field_long", "SELECT date, code, CASE WHEN quantity<50 THEN quantity END AS quantity FROM (SELECT CAST(l_shipdate AS DATE) date, CAST(l_suppkey AS VARCHAR) code, MAX(l_quantity) quantity FROM lineitem WHERE l_shipdate BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' GROUP BY 1,2) q", "quantity")
+def _(spark, sf):
+    day = F.date_format("l_shipdate", "yyyyMMdd")
+    # stored as text, with a value that is no number
+    stored = F.when(F.max("l_quantity") < 50, F.max("l_quantity").cast("string")).otherwise("n/a").alias("value")
+    source = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(day.alias("date"), F.col("l_suppkey").cast("string").alias("code")).agg(stored)
+    return read_field(source, "quantity", start="19930101", end="19971231")
+
+
+@query("read_field_wide", "SELECT CAST(l_shipdate AS DATE) date, code, MAX(CASE WHEN l_returnflag=code THEN l_quantity END) AS quantity FROM lineitem CROSS JOIN (VALUES ('A'),('N'),('R')) f(code) WHERE l_shipdate>=DATE '1995-01-01' GROUP BY 1,2", "quantity")
+def _(spark, sf):
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    wide = line.groupBy(F.date_format("l_shipdate", "yyyyMMdd").cast("int").alias("date")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.max("l_quantity"))
+    return read_field(wide, "quantity", start="19950101")
+
+
+@query("panel_add_columns", "SELECT p.date, p.t, p.code, p.close, CASE WHEN p.volume>=100 THEN p.factor END AS factor, CAST(NULL AS DOUBLE) AS absent FROM panel p", "close factor")
+def _(spark, sf):
+    p = written(lineitem_panel(spark, sf), "panel")
+    extra = {"factor": p.filter("volume >= 100").select("date", "code", "factor"), "absent": None}
+    return add_columns(p.select("date", "t", "code", "close"), extra)
+
+
 @query("win_lag_return", f"{ID}, lag(close) {W} AS before, close/nullif(lag(close) {W},0)-1 AS ret FROM panel", "before ret")
 def _(spark, sf):
     return lineitem_panel(spark, sf).select("date", "t", "code", lag(F.col("close"), 1).alias("before"), change(F.col("close")).alias("ret"))
@@ -242,6 +265,19 @@ def _(spark, sf):
     return kept(lineitem_panel(spark, sf))
 
 
+COOLDOWNS = {"ma_break": 1, "volume_stall": 4, "breakout": 0}
+LIMITED = f"""gaps AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {max(2, k)})" for n, k in COOLDOWNS.items())}) g(event, gap)),
+lim AS (SELECT event, code, MIN(t) t FROM hits GROUP BY 1,2 UNION ALL SELECT h.event, h.code, MIN(h.t) t FROM lim k JOIN gaps g ON g.event=k.event JOIN hits h ON h.event=k.event AND h.code=k.code AND h.t > k.t+g.gap GROUP BY 1,2)"""
+
+
+@query("purge_by_event", "SELECT h.* FROM hits h JOIN lim k ON h.event=k.event AND h.code=k.code AND h.t=k.t", "", HITS, LIMITED)
+def _(spark, sf):
+    # the greater of the study's purge days and the event's own cooldown holds
+    meta = meta_frame(spark, [EventMeta(n, cooldown_days=k) for n, k in COOLDOWNS.items()], 2)
+    rows = hits(lineitem_panel(spark, sf)).join(F.broadcast(meta.select("event", "cooldown")), "event")
+    return purge(rows, F.col("cooldown"))
+
+
 for _k in ("ret", "mfe", "mae"):
     def _label(spark, sf, k=_k):
         return labels_long(lineitem_panel(spark, sf), HORIZONS, ("ret", k)).filter(F.col("label").startswith(k))
@@ -298,6 +334,12 @@ def _(spark, sf):
     return observed(lineitem_panel(spark, sf))
 
 
+@query("observations_without_style", "SELECT * REPLACE ('same_date_style' AS mode) FROM obs WHERE mode='same_date'", OBS_DOUBLES, HITS, KEPT, OBS)
+def _(spark, sf):
+    p = written(lineitem_panel(spark, sf), "panel")
+    return controls.observations(*all_written((labels_long(p, HORIZONS), "labels"), (kept(p), "triggers")), ["same_date_style"])
+
+
 @query("event_paths", "SELECT * FROM ep", "value", HITS, KEPT, PATHS)
 def _(spark, sf):
     p = written(lineitem_panel(spark, sf), "panel")
@@ -346,23 +388,38 @@ def _(spark, sf):
 
 
 @query("bootstrap_effect")
+def bootstrapped(spark, sf):
+    return inference.bootstrap(observed(lineitem_panel(spark, sf)))
+
+
+@query("bootstrap_bounds", "SELECT event, label, mode, CAST(COUNT(DISTINCT date) AS DOUBLE) bootstrap_clusters, true AS ordered, true AS share FROM obs WHERE excess_mean IS NOT NULL GROUP BY 1,2,3 HAVING COUNT(DISTINCT date)>1", "bootstrap_clusters", HITS, KEPT, OBS)
 def _(spark, sf):
-    return inference.bootstrap(observed(lineitem_panel(spark, sf)), 500)
+    # what SQL can say of a random result: its keys, its clusters and the order of its figures
+    obs = observed(lineitem_panel(spark, sf))
+    mean = obs.groupBy("event", "label", "mode").agg(F.avg("excess_mean").alias("mean"))
+    x = inference.bootstrap(obs).filter("ci_low is not null").join(mean, ["event", "label", "mode"])
+    return x.select("event", "label", "mode", F.col("bootstrap_clusters").cast("double").alias("bootstrap_clusters"), F.col("mean").between(F.col("ci_low"), F.col("ci_high")).alias("ordered"), ((F.col("bootstrap_p") > 0) & (F.col("bootstrap_p") <= 1)).alias("share"))
 
 
 @query("bootstrap_two_sample")
-def _(spark, sf):
+def two_samples(spark, sf):
     obs = observed(lineitem_panel(spark, sf), ["same_date"]).filter("excess_mean is not null")
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["date", "code"])
-        return pd.DataFrame([{"event": pdf.event.iloc[0], "label": pdf.label.iloc[0], **inference.bootstrap_two_sample(pdf.event_value, pdf.control_mean, 500)}])
+        return pd.DataFrame([{"event": pdf.event.iloc[0], "label": pdf.label.iloc[0], **inference.bootstrap_two_sample(pdf.event_value, pdf.control_mean)}])
 
     return obs.select("event", "label", "date", "code", "event_value", "control_mean").groupBy("event", "label").applyInPandas(run, "event string, label string, observed double, p_value double, ci_low double, ci_high double")
 
 
+@query("two_sample_bounds", "SELECT event, label, AVG(event_value)-AVG(control_mean) AS observed, true AS ordered, true AS share FROM obs WHERE mode='same_date' AND excess_mean IS NOT NULL GROUP BY 1,2", "observed", HITS, KEPT, OBS)
+def _(spark, sf):
+    x = two_samples(spark, sf)
+    return x.select("event", "label", "observed", F.col("observed").between(F.col("ci_low"), F.col("ci_high")).alias("ordered"), ((F.col("p_value") > 0) & (F.col("p_value") <= 1)).alias("share"))
+
+
 def proxied(spark, sf) -> DataFrame:
     s = inference.summarize(observed(lineitem_panel(spark, sf)))
     p = F.when(F.col("events") >= 3, F.round(1.0 / (1.0 + F.col("events") * F.abs("excess_mean")), 6))
@@ -470,7 +527,11 @@ def _(spark, sf):
     return date_window_stats(observed(lineitem_panel(spark, sf)), meta_frame(spark, [e.meta for e in EVENTS]), "1994-01-01", "1996-12-31")
 
 
-@query("report_sample")
+SAMPLE = """keys AS (SELECT event, date, code, COUNT(*) n FROM obs GROUP BY 1,2,3),
+few AS (SELECT event, date, code FROM keys ORDER BY md5(concat_ws('|', event, strftime(date,'%Y-%m-%d'), CAST(code AS VARCHAR), '42')), event, date, code LIMIT (SELECT CASE WHEN SUM(n)<=500 THEN COUNT(*) ELSE greatest(1, CAST(floor(500/(SUM(n)*1e0/COUNT(*))) AS BIGINT)) END FROM keys))"""
+
+
+@query("report_sample", "SELECT o.* FROM obs o JOIN few f ON f.event=o.event AND f.date=o.date AND f.code=o.code", OBS_DOUBLES, HITS, KEPT, OBS, SAMPLE)
 def _(spark, sf):
     from .report import sample_events
 

@@ -33,7 +33,8 @@ def sample_events(obs: DataFrame, cap: int, seed: int = 42) -> DataFrame:
     r = keys.agg(F.sum("rows").alias("rows"), F.count("*").alias("n")).first()
     if not r.n or r.rows <= cap:
         return obs
-    few = keys.orderBy(F.xxhash64("event", "date", "code", F.lit(seed)), "event", "date", "code").limit(max(1, int(cap / (r.rows / r.n))))
+    drawn = F.md5(F.concat_ws("|", "event", F.date_format("date", "yyyy-MM-dd"), F.col("code").cast("string"), F.lit(str(seed))))
+    few = keys.orderBy(drawn, "event", "date", "code").limit(max(1, int(cap / (r.rows / r.n))))
     return obs.join(few.select("event", "date", "code"), ["event", "date", "code"], "left_semi")
 
 

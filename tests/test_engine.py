@@ -263,7 +263,7 @@ def test_stream_purge(spark, tmp_path):
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["rolling_pct_rank", "purge_clusters", "observations", "path_summary", "stability", "bt_metrics", "factor_groups", "flagship_summary"])
+@pytest.mark.parametrize("name", ["rolling_pct_rank", "purge_clusters", "observations", "path_summary", "stability", "bt_metrics", "factor_groups", "flagship_summary", "read_field_wide", "panel_add_columns", "purge_by_event", "observations_without_style", "report_sample"])
 def test_catalogue_against_sql(spark, name):
     import duckdb
 
