@@ -184,7 +184,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # one partition after another: the driver's JVM never holds them all
     found = [(r.id, r.label, np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32)) for r in table.toLocalIterator()]
     found.sort(key=lambda r: (r[0], r[2].tobytes()))
-    return train([r[2:] for r in found], np.asarray([r[1] for r in found], int))
+    held, classes = [r[2:] for r in found], np.asarray([r[1] for r in found], int)
+    del found  # train() lets go of each bag once it has cut it down
+    model = train(held, classes)
+    del held
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
